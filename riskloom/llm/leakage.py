@@ -117,7 +117,7 @@ def overlaps(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
 
     ``documents``: doc_id, text; ``items``: item_id, text. ``exact_windows``: places of the document at which 13
     consecutive words agree; ``best``: most words that agree at the same distance within a window and its
-    surroundings. Rows with ``best`` below ``least`` are chance hits and are left out.
+    surroundings. Rows with ``best`` below ``least`` are chance hits and are left out, unless 13 words agree.
     """
     spark = documents.sparkSession
     test = windows(items.select(F.col("item_id").alias("id"), "text"), masks, around)
@@ -141,7 +141,7 @@ def overlaps(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
     if not around:
         hits = hits.filter("exact")
     out = hits.groupBy("doc_id", "item_id").agg(F.count_if("exact").alias("exact_windows"), F.max("same").alias("best"))
-    return out.filter(F.col("best") >= least)
+    return out.filter((F.col("best") >= least) | (F.col("exact_windows") > 0))
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

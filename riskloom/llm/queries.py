@@ -39,7 +39,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps with substituted words too: windows of 13 equal words, and most words that agree around a hit."""
-    return overlaps(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"), least=18)
+    return overlaps(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"), least=22)
 
 
 QUERIES = {
