@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.grouping import grouped
 from riskloom.llm.leakage import leaked, overlaps
+from riskloom.llm.residue import residue
 from riskloom.llm.survivors import advisory_survivors
 from riskloom.llm.tokens import decoder, encoded
 from riskloom.tables import read
@@ -42,7 +43,11 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlaps(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"), least=22)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(read(spark, d, "documents", "doc_id", "text"))
+
+
 QUERIES = {
-    "p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_overlaps": p7_overlaps,
+    "p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found,
 }
 SQL: dict[str, str] = {}
