@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once: executors need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="riskloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file as long as the session lives
+    path = os.path.join(folder, "riskloom_code.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for sub, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(sub, name)
+                    z.write(full, os.path.join("riskloom", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
 
 def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Table ``name`` of ``folder``; only ``columns`` if given, so that the scan is pruned at the source."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
