@@ -1,4 +1,9 @@
 """Queries of the engine's own operators and the SQL each must agree with."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from riskloom.plans import advisories, graphs, requests, scans, stores, texts, versions
+
+_PARTS = (versions, advisories, requests, stores, graphs, texts, scans)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+SQL: dict = {k: v for part in _PARTS for k, v in part.SQL.items()}
