@@ -71,7 +71,7 @@ def in_range(version: Column, ranges: Column) -> Column:
     An operator that is not one of ``>= <= > < == = !=`` is read as equality of the digit runs.
     """
     key = range_key(version)
-    conditions = F.filter(F.transform(F.split(ranges, ","), F.trim), lambda c: c != "")
+    conditions = F.filter(F.transform(F.split(ranges, ","), lambda c: F.trim(c)), lambda c: c != "")
 
     def holds(c: Column) -> Column:
         op = F.regexp_extract(c, "^(>=|<=|==|!=|>|<|=)?", 1)
