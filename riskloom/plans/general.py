@@ -109,4 +109,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p3_found": p3_found, "p3_snapshot": p3_snapshot, "p5_found": p5_found}
 
-SQL: dict[str, str] = {}
+_NORM = r"upper(regexp_replace(regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\p{Pd}\x{2212}]', '-', 'g'))"
+_SCHEMES = "^(CVE-[0-9]{4}-[0-9]{4,}|GHSA(-[0-9A-Z]{4}){3}|(PYSEC|GO|RUSTSEC)-[0-9]{4}-[0-9]+)$"
+_IS_ID = f"regexp_matches({_NORM}, '{_SCHEMES}') and not regexp_matches({_NORM}, '^[A-Z]+-0000-|-[0-9]{{4}}-0+$')"
+_P3 = rf"""with q as (select id, case when cached_at >= 100000000000 then cached_at // 1000 else cached_at end as t, trim(cve_ids) as w from package_queries where cve_ids is not null),
+ j as (select id, t, w, regexp_matches(w, '^[\[{{"]') as jsonish, case when regexp_matches(w, '^[\[{{"]') and json_valid(w) then case when json_type(w) = 'VARCHAR' then case when json_valid(json_extract_string(w, '$')) then json(json_extract_string(w, '$')) end else json(w) end end as v from q),
+ ids as (select id, t, unnest(case when not jsonish then string_split(w, ',') when v is null then [] else list_transform(json_extract(v, '$[*]'), lambda e: coalesce(e ->> '$.id', e ->> '$')) end) as x from j),
+ refs as (select distinct 'package_queries' as ref_table, id as ref_id, {_NORM} as cve_id, t from ids where x is not null and {_IS_ID}
+ union select 'reachability', rec_id, {_NORM}, epoch_us(analyzed_at) // 1000000 from (select *, cve_id as x from reachability) where x is not null and {_IS_ID}),
+ parents as (select {_NORM} as cve_id, cached_at, deleted_at from (select *, cve_id as x from cve_cache) where {_IS_ID}),
+ judged as (select ref_table, ref_id, r.cve_id, t, count(p.cve_id) as n, count(*) filter (cached_at <= t and (deleted_at is null or deleted_at > t)) as live, count(*) filter (cached_at > t) as later from refs r left join parents p on r.cve_id = p.cve_id group by all),
+ found as (select distinct ref_table, ref_id, cve_id, strftime(make_timestamp(t * 1000000), '%Y-%m') as period, case when n = 0 then 'missing' when later > 0 then 'late' else 'deleted' end as reason from judged where live = 0)"""
+_RECORD = "case when json_type(v) = 'OBJECT' then coalesce(v -> '$.vulnerabilities[0].cve', v -> '$.cve', v) end"
+_LIST = "case json_type(l) when 'ARRAY' then json_extract(l, '$[*]') when 'OBJECT' then [l] when 'VARCHAR' then [l] else [] end"
+_CHILD = "(select rec_id, child, unnest(es) as e, unnest(generate_series(1, len(es))) - 1 as pos from (select rec_id, child, " + _LIST + " as es from (select rec_id, 'reference' as child, r -> '$.references' as l from r union all select rec_id, 'weakness', r -> '$.weaknesses' from r)))"
+SQL: dict[str, str] = {
+    "p3_found": f"{_P3} select * from found",
+    "p3_snapshot": f"{_P3} select ref_table, period, reason, count(*) as orphans from found group by all",
+    "p5_found": f"""with j as (select rec_id, case when json_valid(cve) then case when json_type(cve) = 'VARCHAR' then case when json_valid(json_extract_string(cve, '$')) then json(json_extract_string(cve, '$')) end else json(cve) end end as v from nvd_cve_log4j),
+ r as (select rec_id, {_RECORD} as r from j),
+ lists as (select 'nvd_cve_log4j' as source_table, rec_id, child, 0 as parent_pos, pos, case when child = 'reference' then case when json_type(e) = 'VARCHAR' then e ->> '$' when json_type(e -> '$.url') = 'VARCHAR' then e ->> '$.url' end when json_type(e -> '$.type') = 'VARCHAR' then e ->> '$.type' end as val from {_CHILD}),
+ a as (select rec_id, unnest(affected) as a, unnest(generate_series(1, len(affected))) - 1 as parent_pos from osv_response),
+ ranges as (select rec_id, parent_pos, unnest(a.ranges) as g, unnest(generate_series(1, len(a.ranges))) - 1 as pos from a)
+ select * from lists where val <> '' union all select 'osv_response', rec_id, 'range', parent_pos, pos, g.type from ranges where g.type <> ''""",
+}
