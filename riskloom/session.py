@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -38,6 +39,15 @@ class Cuts:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self.remove)
+
+    def remove(self) -> None:
+        """Delete everything of this run; called when the driver ends, as results may be read until then."""
+        try:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  # the session may be gone
+            pass
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
