@@ -40,19 +40,31 @@ _SLOTS = "|".join(
 )
 
 
+#: Whole texts that stand in for a description, without marks at their ends.
+_WHOLE = (
+    rf"^(?:{_WORDS}|(?:no|without|keine?|aucune?|sin) {_NOUN}(?: {_LATER})?|{_NOUN}(?: {_LATER})?(?: here)?|{_LATER}"
+    rf"|(?:write|add|insert|enter|fill in|provide|describe|put|type) .{{0,20}}(?:{_NOUN}|here)(?: here)?|{_NOUN} goes here"
+    rf"|(?:this |the )?(?:entry|record|candidate|identifier|id|number|cve|advisory|text) (?:is|has been|was) (?:a placeholder|reserved|assigned|rejected|withdrawn|empty|under review|a stub).{{0,60}}"
+    rf"|(?:reserved|rejected?|disputed|withdrawn)[^\p{{L}}]+(?:{_NOUN})?(?: {_LATER})?(?: .{{0,5}})?"
+    rf"|{_POINT} (?:(?:the|our|their|its|this|that|an?|following|attached|linked|official|vendor|vendor's|project|full|original|upstream) )*{_WHERE}(?: (?:{_WHERE}|for|more|further|details|information|info|a|the|description|page|below|above|of|vendor))*"
+    rf"|(?:{_POINT}:? )?(?:https?://|www\.)\S+(?: (?:and )?(?:https?://|www\.)\S+)*"
+    rf"|(?:cve|ghsa|pysec|go|rustsec)-[\w-]+)$"
+)
+_SLOT = rf"^[^\p{{L}}\p{{N}}<>\[\]{{}}%$@#_&«»]*(?:{_SLOTS})[.!]?$"
+_ENDS = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
 def says_something(text: Column) -> Column:
     """True if ``text`` is a usable description; false for null."""
     flat = F.trim(F.regexp_replace(F.lower(text), _INVISIBLE, " "))
-    bare = F.regexp_replace(flat, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    bare = F.regexp_replace(flat, _ENDS, "")
     few = F.length(bare) <= 160  # a stand-in is short; longer texts skip the patterns
-    whole = (
-        rf"^(?:{_WORDS}|(?:no|without|keine?|aucune?|sin) {_NOUN}(?: {_LATER})?|{_NOUN}(?: {_LATER})?(?: here)?|{_LATER}"
-        rf"|(?:write|add|insert|enter|fill in|provide|describe|put|type) .{{0,20}}(?:{_NOUN}|here)(?: here)?|{_NOUN} goes here"
-        rf"|(?:this |the )?(?:entry|record|candidate|identifier|id|number|cve|advisory|text) (?:is|has been|was) (?:a placeholder|reserved|assigned|rejected|withdrawn|empty|under review|a stub).{{0,60}}"
-        rf"|(?:reserved|rejected?|disputed|withdrawn)[^\p{{L}}]+(?:{_NOUN})?(?: {_LATER})?(?: .{{0,5}})?"
-        rf"|{_POINT} (?:(?:the|our|their|its|this|that|an?|following|attached|linked|official|vendor|vendor's|project|full|original|upstream) )*{_WHERE}(?: (?:{_WHERE}|for|more|further|details|information|info|a|the|description|page|below|above|of|vendor))*"
-        rf"|(?:{_POINT}:? )?(?:https?://|www\.)\S+(?: (?:and )?(?:https?://|www\.)\S+)*"
-        rf"|(?:cve|ghsa|pysec|go|rustsec)-[\w-]+)$"
-    )
-    slot = flat.rlike(rf"^[^\p{{L}}\p{{N}}<>\[\]{{}}%$@#_&«»]*(?:{_SLOTS})[.!]?$")
-    return F.coalesce((bare != "") & ~(few & (bare.rlike(whole) | slot)), F.lit(False))
+    return F.coalesce((bare != "") & ~(few & (bare.rlike(_WHOLE) | flat.rlike(_SLOT))), F.lit(False))
+
+
+def sql_says_something(x: str) -> str:
+    """The same as SQL text."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    flat = f"trim(regexp_replace(lower({x}), {q(_INVISIBLE)}, ' ', 'g'), ' ')"
+    bare = f"regexp_replace({flat}, {q(_ENDS)}, '', 'g')"
+    return f"coalesce({bare} <> '' and not (length({bare}) <= 160 and (regexp_matches({bare}, {q(_WHOLE)}) or regexp_matches({flat}, {q(_SLOT)}))), false)"
