@@ -15,7 +15,8 @@ time order. It runs within (key, day) and takes the maximum of all earlier days
 per key and day, so a key that holds a third of all rows is spread over its days.
 
 Defined results: references without a key, or whose key names nothing, are no references; repeated references
-count once; a null time has no live parent and none that comes later, hence ``missing`` or ``deleted``; empty
+count once; a null time has no live parent and none that comes later, hence ``missing`` or ``deleted``; a parent without a
+time of storing exists but is never live; empty
 tables give an empty result (no parents: every reference is ``missing``).
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 OPEN = 9_223_372_036_854_775_807
+NEVER = -9_000_000_000_000_000
 DAY = 86_400
 
 
@@ -41,7 +43,10 @@ class OrphanState:
 
 def probe(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """``refs`` (ref_table, ref_id, cve_id, t) with ``reason``: null if a parent is live at ``t``."""
-    p = parents.filter("cve_id is not null and from_s is not null").select("cve_id", "from_s", F.coalesce("to_s", F.lit(OPEN)).alias("to_s"))
+    # a row without a time of storing is there but was never live
+    p = parents.filter("cve_id is not null").select(
+        "cve_id", F.coalesce("from_s", F.lit(NEVER)).alias("from_s"), F.when(F.col("from_s").isNull(), F.lit(NEVER)).otherwise(F.coalesce("to_s", F.lit(OPEN))).alias("to_s")
+    )
     day = F.floor(F.col("t") / DAY).cast("bigint")
     # only keys that are referred to matter; the day of a reference needs the earlier days' maximum even if no parent is of that day
     rows = (

@@ -64,6 +64,9 @@ def test_empty(spark):
     parents = spark.createDataFrame([], PARENTS)
     assert advance(None, none, parents).refs.count() == 0
     assert reasons(advance(None, refs, parents)) == {("q", 1, "A", 5, "missing")}
+    odd = spark.createDataFrame([("A", None, None), ("B", 1, None)], PARENTS)
+    more = spark.createDataFrame([("q", 1, "A", 5), ("q", 2, "B", None), ("q", 3, "B", 7)], REFS)
+    assert reasons(advance(None, more, odd)) == {("q", 1, "A", 5, "deleted"), ("q", 2, "B", None, "deleted")}
 
 
 def test_shapes(spark):
