@@ -112,10 +112,10 @@ def encoder(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKEN
         import pyarrow as pa
 
         coder = coder_of(shared)
-        lists = [coder.encode(t) for t in text.to_pylist()]
+        lists = [np.array(coder.encode(t), np.int32) for t in text.to_pylist()]
         offsets = np.zeros(len(lists) + 1, np.int32)
         np.cumsum([len(x) for x in lists], out=offsets[1:])
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     return encode
