@@ -15,7 +15,7 @@ SUFFIX = r"[-_](alpha|beta|rc|dev|pre|post)\.?[0-9]*"
 
 
 def _runs(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
+    return F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1)).try_cast("array<bigint>")
 
 
 def _or_zero(key: Column) -> Column:
@@ -65,20 +65,29 @@ def is_major_upgrade(old: Column, new: Column) -> Column:
     return F.coalesce(major(new) > major(old), F.lit(False))
 
 
-def in_range(version: Column, ranges: Column) -> Column:
-    """All comma-separated conditions of ``ranges`` hold; an empty or null version or range holds nothing.
+def conditions(ranges: Column) -> Column:
+    """The comma-separated conditions of a range as structs of operator and bound; parse a range once, compare it often.
 
     An operator that is not one of ``>= <= > < == = !=`` is read as equality of the digit runs.
     """
-    key = range_key(version)
-    conditions = F.filter(F.transform(F.split(ranges, ","), lambda c: F.trim(c)), lambda c: c != "")
+    parts = F.filter(F.transform(F.split(ranges, ","), lambda c: F.trim(c)), lambda c: c != "")
+    op = r"^(>=|<=|==|!=|>|<|=)?"
+    return F.transform(parts, lambda c: F.struct(F.regexp_extract(c, op, 1).alias("op"), range_key(F.regexp_replace(c, op, "")).alias("bound")))
+
+
+def holds(key: Column, parsed: Column) -> Column:
+    """Whether the key of a version meets all parsed conditions; a null key or no condition holds nothing."""
 
-    def holds(c: Column) -> Column:
-        op = F.regexp_extract(c, "^(>=|<=|==|!=|>|<|=)?", 1)
-        bound = range_key(F.regexp_replace(c, "^(>=|<=|==|!=|>|<|=)", ""))
-        return F.when(op == ">=", key >= bound).when(op == "<=", key <= bound).when(op == ">", key > bound).when(op == "<", key < bound).when(op == "!=", key != bound).otherwise(key == bound)
+    def one(c: Column) -> Column:
+        op, bound = c["op"], c["bound"]
+        return F.when(op == ">=", key >= bound).when(op == "<", key < bound).when(op == "<=", key <= bound).when(op == ">", key > bound).when(op == "!=", key != bound).otherwise(key == bound)
 
-    return F.coalesce((version != "") & (F.size(conditions) > 0) & F.forall(conditions, holds), F.lit(False))
+    return F.coalesce((F.size(parsed) > 0) & F.forall(parsed, one), F.lit(False))
+
+
+def in_range(version: Column, ranges: Column) -> Column:
+    """All comma-separated conditions of ``ranges`` hold; an empty or null version or range holds nothing."""
+    return F.coalesce(version != "", F.lit(False)) & holds(range_key(version), conditions(ranges))
 
 
 def padded(key: Column, n: int = 3) -> Column:

@@ -56,9 +56,11 @@ def kb_join(spark: SparkSession, d: str) -> DataFrame:
     line = read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     part = read(spark, d, "part", "p_partkey", "p_size")
     version = F.concat_ws(".", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), (F.col("l_suppkey") % 10).cast("string"))
-    deps = line.select(F.col("l_orderkey").alias("repo"), F.col("l_partkey").alias("package"), version.alias("version"))
-    signatures = part.select(F.col("p_partkey").alias("package"), F.concat(F.lit(">=1."), F.col("p_size").cast("string"), F.lit(",<"), (2 + F.col("p_size") % 5).cast("string"), F.lit("."), F.col("p_size").cast("string")).alias("ranges"))
-    hit = deps.join(signatures, "package").filter(V.in_range(F.col("version"), F.col("ranges")))
+    # each version and each range is parsed once, before the join; the residual condition only compares arrays
+    deps = line.select(F.col("l_orderkey").alias("repo"), F.col("l_partkey").alias("package"), V.range_key(version).alias("key"))
+    ranges = F.concat(F.lit(">=1."), F.col("p_size").cast("string"), F.lit(",<"), (2 + F.col("p_size") % 5).cast("string"), F.lit("."), F.col("p_size").cast("string"))
+    signatures = part.select(F.col("p_partkey").alias("package"), V.conditions(ranges).alias("conditions"))
+    hit = deps.join(signatures, "package").filter(V.holds(F.col("key"), F.col("conditions")))
     return hit.groupBy("repo").agg(F.count(F.lit(1)).alias("affected"), F.countDistinct("package").alias("packages"))
 
 
