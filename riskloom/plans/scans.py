@@ -31,14 +31,22 @@ def lock_entries(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("name").agg(F.count(F.lit(1)).alias("documents"), F.max("version").alias("greatest"))
 
 
-def dep_scan_union(spark: SparkSession, d: str) -> DataFrame:
-    """Dependency rows of all ecosystems in one table, dev and direct flags counted, excluded ecosystems left out."""
+#: Ecosystems in the order of the scanners; the place of one is its ``source_seq``.
+ECOSYSTEMS = ("npm", "pypi", "go", "rubygems", "maven", "cargo", "composer")
+
+
+def dep_scan_union(spark: SparkSession, d: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Dependency rows of all seven ecosystems in one table, those in ``exclude`` left out.
+
+    The table has no dev and direct flags; ``manifest_scan`` counts those.
+    """
     t = read(spark, d, "package_queries", "ecosystem", "package_name", "version", "id")
     e = F.lower("ecosystem")
-    branches = [t.filter(e == x).select(F.lit(x).alias("ecosystem"), F.lit(i).alias("source_seq"), "package_name", "version") for i, x in enumerate(("npm", "pypi", "go", "rubygems", "maven", "cargo"))]
+    branches = [t.filter(e == x).select(F.lit(x).alias("ecosystem"), F.lit(i).alias("source_seq"), "package_name", "version") for i, x in enumerate(ECOSYSTEMS)]
     out = branches[0]
     for b in branches[1:]:
         out = out.unionByName(b)
+    out = out.filter(~F.col("ecosystem").isin(*exclude)) if exclude else out
     return out.groupBy("ecosystem", "source_seq").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("package_name").alias("packages"), F.count_if(F.col("version").isNull()).alias("unversioned"))
 
 
