@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from riskloom.functions import versions as V
 from riskloom.tables import read
@@ -69,11 +70,25 @@ _PART_RANGES = "'>=1.' || p_size::varchar || ',<' || (2 + p_size % 5)::varchar |
 
 
 def known_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Known changes (one for each part, at a version of its size) that lie after the old and up to the new version of an update."""
-    title = read(spark, d, "github_pr_dependabot", "rec_id", "title").select("rec_id", F.regexp_extract("title", r"from (\S+) to (\S+)", 1).alias("a"), F.regexp_extract("title", r"from (\S+) to (\S+)", 2).alias("b"))
-    at = F.explode(F.array(*(F.lit(x) for x in ("1.0.0", "2.0", "3.10.1", "5", "7.15.0"))))
-    rows = title.filter("a <> ''").select("rec_id", "a", "b", at.alias("changed_in"))
-    return rows.filter(V.after_upto(F.col("changed_in"), F.col("a"), F.col("b"))).groupBy("changed_in").agg(F.count(F.lit(1)).alias("updates"), F.min("rec_id").alias("first_rec_id"))
+    """Known changes (one for each part, at a version of its size) of the package of an update that lie after its old and
+    up to its new version: for each change the updates that meet it.
+
+    Packages are compared in lower case with ``_`` for ``-``. The parts go round the packages of the updates in the order of their names.
+    """
+    form = r"(\S+) from (\S+) to (\S+)"
+    title = read(spark, d, "github_pr_dependabot", "rec_id", "title").filter(F.col("title").rlike(form))
+    package = F.translate(F.lower(F.regexp_extract("title", form, 1)), "-", "_")
+    updates = title.groupBy(package.alias("package"), F.regexp_extract("title", form, 2).alias("a"), F.regexp_extract("title", form, 3).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("first"))
+    # each version is parsed once, before the join
+    updates = updates.select("package", "n", "first", V.padded(V.stripped_three(F.col("a"))).alias("a"), V.padded(V.stripped_three(F.col("b"))).alias("b"))
+    names = updates.select("package").distinct().withColumn("place", F.row_number().over(W.orderBy("package")) - 1)
+    size = F.col("p_size").cast("string")
+    changed_in = F.concat_ws(".", (F.col("p_size") % 8).cast("string"), size, F.lit("0"))
+    parts = read(spark, d, "part", "p_partkey", "p_size").crossJoin(names.agg(F.count(F.lit(1)).alias("packages"))).filter("packages > 0")
+    parts = parts.select("p_partkey", changed_in.alias("changed_in"), F.expr("pmod(p_partkey, packages)").alias("place"))
+    changes = parts.join(names, "place").select("p_partkey", "package", "changed_in", V.padded(V.stripped_three(F.col("changed_in"))).alias("at"))
+    hit = updates.join(changes, "package").filter("a < at and at <= b")
+    return hit.groupBy("p_partkey", "package", "changed_in").agg(F.sum("n").alias("updates"), F.min("first").alias("first_rec_id"))
 
 
 def _sql_padded(x: str) -> str:
