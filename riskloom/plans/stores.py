@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from riskloom.operators import stores as S
 from riskloom.tables import read
 
-#: The moment all queries ask for: the start of 2023 in epoch seconds.
+#: The moment that expiry is tested against and that parts early from late queries: the start of 2023 in epoch seconds.
 AS_OF = 1_672_531_200
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "cve_cache").filter(F.col("cached_at") <= AS_OF).distinct()
+    return read(spark, d, "cve_cache").distinct()
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """What the advisory cache holds for each key at the moment: the row written last."""
+    """What the advisory cache holds for each key after all writes: the row written last."""
     s = S.latest(_cache(spark, d).select("cve_id", "source", "cached_at", "expires_at"), ["cve_id"], ["cached_at", "expires_at", "source"])
     return s.select("cve_id", "source", "cached_at", "expires_at")
 
@@ -37,9 +37,8 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def package_cache(spark: SparkSession, d: str) -> DataFrame:
-    """The package-query cache: the last answer for each (ecosystem, package, version), where a missing version is a key."""
-    q = _queries(spark, d).filter(F.col("cached_at") <= AS_OF)
-    s = S.latest(q.select("ecosystem", "package_name", "version", "id", "cached_at", "expires_at"), ["ecosystem", "package_name", "version"], ["cached_at", "id"])
+    """The package-query cache after all writes: the last answer for each (ecosystem, package, version), where a missing version is a key."""
+    s = S.latest(_queries(spark, d).select("ecosystem", "package_name", "version", "id", "cached_at", "expires_at"), ["ecosystem", "package_name", "version"], ["cached_at", "id"])
     return s.select("ecosystem", "package_name", "version", "id", "cached_at")
 
 
