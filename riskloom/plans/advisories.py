@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskloom.functions import versions as V
+from riskloom.functions.identifiers import normal_form
 from riskloom.functions.labels import severity_of, severity_of_score, severity_rank
 from riskloom.operators import advisories as A
 from riskloom.sources.payloads import with_record
+from riskloom.sources.references import with_ids
 from riskloom.tables import read
 
 
@@ -78,12 +80,15 @@ def affected_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cves_fixed(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiers that a package's queries named at its smallest version and no longer name at its greatest, counted."""
-    t = read(spark, d, "package_queries", "package_name", "version", "cve_ids").filter("version is not null and cve_ids like '[\"%' and cve_ids like '%]'")
-    key = V.plain_key(F.col("version"))
-    t = t.select("package_name", key.alias("k"), F.regexp_extract_all("cve_ids", F.lit(r"(CVE-[0-9]+-[0-9]+)"), F.lit(1)).alias("ids"))
+    """Identifiers that a package's queries named at its smallest version and no longer name at its greatest, counted.
+
+    Every row with a version counts for the smallest and the greatest; an empty, missing or unreadable list names nothing.
+    """
+    t = with_ids(read(spark, d, "package_queries", "package_name", "version", "cve_ids").filter("version is not null"), "cve_ids", "ids")
+    t = t.select("package_name", V.plain_key(F.col("version")).alias("k"), "ids")
     ends = t.groupBy("package_name").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi")
-    both = t.join(ends, "package_name").filter("k = lo or k = hi").select("package_name", (F.col("k") == F.col("lo")).alias("old"), F.explode("ids").alias("cve_id")).distinct()
+    both = t.join(ends, "package_name").filter("k = lo or k = hi").select("package_name", (F.col("k") == F.col("lo")).alias("old"), F.explode("ids").alias("x"))
+    both = both.select("package_name", "old", normal_form(F.col("x")).alias("cve_id")).filter("cve_id is not null").distinct()
     old, new = both.filter("old").drop("old"), both.filter("not old").drop("old")
     return old.join(new, ["package_name", "cve_id"], "left_anti").groupBy("package_name").agg(F.count(F.lit(1)).alias("fixed"))
 
