@@ -59,11 +59,11 @@ def reachable_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enclosing_function(spark: SparkSession, d: str) -> DataFrame:
-    """Definitions (spans of order lines) around calls (even line numbers) of an order: the first that spans each."""
+    """Definitions (spans of order lines) around calls (every line) of an order: the first that spans each."""
     line = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_suppkey", "l_quantity")
     per = line.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     defs = per.select(F.col("l_orderkey").alias("file"), F.col("part").cast("string").alias("name"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + F.col("part") % 4).alias("end"), F.col("l_linenumber").alias("ord"))
-    calls = per.filter(F.col("l_linenumber") % 2 == 0).select(F.col("l_orderkey").alias("file"), F.col("part").cast("string").alias("call"), F.col("l_linenumber").alias("line"))
+    calls = per.select(F.col("l_orderkey").alias("file"), F.col("part").cast("string").alias("call"), F.col("l_linenumber").alias("line"))
     return G.innermost(defs, calls).groupBy("line").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("name").cast("bigint")).alias("name_sum"))
 
 
