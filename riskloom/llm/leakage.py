@@ -29,6 +29,8 @@ MASKS = ("1101100110101", "1010111001011")
 #: Words compared on either side of a window for overlaps with substitutions.
 AROUND = 8
 SALTS = 16
+#: Share of equal words that a stretch of at least 13 words must have to be an overlap.
+SHARE = 0.8
 #: Test windows up to this number are broadcast.
 FEW = 120_000
 
@@ -112,12 +114,34 @@ def seed_bitmap(items: DataFrame) -> tuple[bytes, int]:
     return bytes(out), bits
 
 
+def longest_run(share: float, width: int):
+    """Column function: length of the longest stretch of at least 13 words of which ``share`` agree; 0 without one.
+
+    It takes an integer whose bit i, of ``width``, tells whether the words at place i agree.
+    """
+
+    @F.arrow_udf("int")
+    def run(bits):
+        import numpy as np
+        import pyarrow as pa
+
+        b = bits.to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = np.concatenate([np.zeros((1, len(b)), np.int64), np.cumsum([(b >> i) & 1 for i in range(width)], axis=0)])
+        out = np.zeros(len(b), np.int32)
+        for n in range(SPAN, width + 1):
+            out[((sums[n:] - sums[:-n]) >= share * n - 1e-9).any(axis=0)] = n
+        return pa.array(out)
+
+    return run
+
+
 def overlaps(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, around: int = AROUND, least: int = SPAN) -> DataFrame:
-    """(doc_id, item_id, exact_windows, best) for each document and item with a hit.
+    """(doc_id, item_id, exact_windows, best, run) for each document and item with a hit.
 
     ``documents``: doc_id, text; ``items``: item_id, text. ``exact_windows``: places of the document at which 13
     consecutive words agree; ``best``: most words that agree at the same distance within a window and its
-    surroundings. Rows with ``best`` below ``least`` are chance hits and are left out, unless 13 words agree.
+    surroundings; ``run``: words in the longest stretch there, of at least 13, of which ``SHARE`` agree, 0 without one.
+    Rows with ``best`` below ``least`` are chance hits and are left out, unless 13 words agree or there is such a stretch.
     """
     spark = documents.sparkSession
     test = windows(items.select(F.col("item_id").alias("id"), "text"), masks, around)
@@ -134,14 +158,14 @@ def overlaps(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
         hits = train.join(few, train["seed"] == few["_seed"])
     exact = F.slice("_d", around + 1, SPAN) == F.slice("_i", around + 1, SPAN)
     if around:
-        same = F.aggregate(F.zip_with("_d", "_i", lambda a, b: ((a == b) & (a != 0)).cast("int")), F.lit(0), lambda n, x: n + x)
+        # which words agree, one bit each
+        bits = F.aggregate(F.zip_with("_d", "_i", lambda a, b: ((a == b) & (a != 0)).cast("bigint")), F.lit(0).cast("bigint"), lambda n, x: n * 2 + x)
+        hits = hits.select("doc_id", "item_id", "at", exact.alias("exact"), bits.alias("bits"))
+        hits = hits.select("doc_id", "item_id", "exact", F.bit_count("bits").alias("same"), longest_run(SHARE, SPAN + 2 * around)("bits").alias("run"))
     else:
-        same = F.when(exact, SPAN).otherwise(0)
-    hits = hits.select("doc_id", "item_id", "at", exact.alias("exact"), same.alias("same"))
-    if not around:
-        hits = hits.filter("exact")
-    out = hits.groupBy("doc_id", "item_id").agg(F.count_if("exact").alias("exact_windows"), F.max("same").alias("best"))
-    return out.filter((F.col("best") >= least) | (F.col("exact_windows") > 0))
+        hits = hits.select("doc_id", "item_id", exact.alias("exact"), F.lit(SPAN).alias("same"), F.lit(SPAN).alias("run")).filter("exact")
+    out = hits.groupBy("doc_id", "item_id").agg(F.count_if("exact").alias("exact_windows"), F.max("same").alias("best"), F.max("run").alias("run"))
+    return out.filter((F.col("best") >= least) | (F.col("exact_windows") > 0) | (F.col("run") > 0))
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

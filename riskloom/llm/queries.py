@@ -40,7 +40,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps with substituted words too: windows of 13 equal words, and most words that agree around a hit."""
+    """Overlaps with substituted words too: windows of 13 equal words, most words that agree around a hit, and the
+    longest stretch of at least 13 words of which 80 % agree; 22 of the 29 compared words or such a stretch make a row."""
     return overlaps(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"), least=22)
 
 

@@ -83,3 +83,26 @@ def test_empty(spark):
     d, i = frames(spark, docs, items)
     assert leakage.leaked(d.limit(0), i).count() == 0
     assert leakage.leaked(d, i.limit(0)).count() == 0
+
+
+def test_short_passages_with_substitutions(spark):
+    words = [f"u{i}" for i in range(16)]
+    for at in (5, 8, 10):  # no 13 equal words, at most 15 of them at one distance
+        changed = words[:at] + ["other"] + words[at + 1 :]
+        d, i = frames(spark, [(1, "x y z " * 20 + " ".join(changed) + " k l m" * 20)], [(7, "a b c " * 20 + " ".join(words) + " d e f" * 20)])
+        got = leakage.overlaps(d, i, least=22).collect()
+        assert [(r["doc_id"], r["item_id"], r["exact_windows"]) for r in got] == [(1, 7, 0)] and got[0]["run"] >= 13 and got[0]["best"] == 15
+
+
+def test_longest_run(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.getrandbits(29) | r.getrandbits(29) | r.getrandbits(29),) for _ in range(300)] + [(0,), ((1 << 29) - 1,)]
+
+    def brute(x):
+        b = [x >> k & 1 for k in range(29)]
+        return max((n for n in range(13, 30) for k in range(30 - n) if sum(b[k : k + n]) * 5 >= n * 4), default=0)
+
+    got = spark.createDataFrame(rows, "bits bigint").select("bits", leakage.longest_run(0.8, 29)("bits").alias("run")).collect()
+    assert [r["run"] for r in got] == [brute(r["bits"]) for r in got] and len({r["run"] for r in got}) > 5
