@@ -31,6 +31,8 @@ from riskloom.session import Cuts, lookup
 
 #: Documents that must fill a slot with values before a line with a name there counts as unfilled.
 FILLED = 3
+#: The same for lines of few words, which more documents share by chance.
+FILLED_SHORT = 10
 #: Documents whose whole-page skeleton must agree to count as a repeated page.
 REPEATED = 3
 #: Words outside residue sentences that a repeated page may hold.
@@ -72,9 +74,12 @@ _HTML = re.compile(r"</?[a-zA-Z][\w-]*(?: [^<>\n]{0,300})?/?>|<[!?][^<>\n]{0,300
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])\s+|(?<=[。！？])")
 _QUOTED = re.compile(r"\"[^\"\n]{3,}\"|“[^”\n]{3,}”|(?<!\w)'[^'\n]{4,}'(?!\w)|‘[^’\n]{4,}’")
 
-#: Page headers and footers.
+#: A field with a value: code by its look, but it fills the field of a template.
+_FIELD = re.compile(r"[A-Za-z][\w.-]*: [^\s\"'{}\[\]]+")
+
+#: Page headers and footers, those with bars aside.
 _EDGE = re.compile(
-    r"^(?:.{1,40}(?: ?[|·•›»] ?.{1,40}){1,12}|skip to .{3,30}|menu\W*|navigation|search|sign in|log ?in|© .{1,80}|\(c\) .{1,80}|copyright .{1,80}|all rights reserved\.?|page generated in .{1,30}|powered by .{1,40}|choose a language.{0,80}|we (?:count visits with|use) cookies.{0,80}|accept|decline|back to top|home|.{1,60} - project pages|generated .{1,40}|last updated.{0,40}|(?:[-*•>+] ?)?[@\w][\w@./:-]*)$"
+    r"^(?:skip to .{3,30}|menu\W*|navigation|search|sign in|log ?in|© .{1,80}|\(c\) .{1,80}|copyright .{1,80}|all rights reserved\.?|page generated in .{1,30}|powered by .{1,40}|choose a language.{0,80}|we (?:count visits with|use) cookies.{0,80}|accept|decline|back to top|home|.{1,60} - project pages|generated .{1,40}|last updated.{0,40}|(?:[-*•>+] ?)?[@\w][\w@./:-]*)$"
 )
 
 _SCRIPT = r"(?:java ?script|js|client-side code|ecma ?script|scripts?|scripting|active content|cookies?|browser)"
@@ -118,6 +123,9 @@ _ODD = re.compile(
     r"(?<![\w/.])(?:<{1,3}|\{{1,3}|\[{1,3}|%{1,2}|\${1,2}|@@|##|«|\^\^|~~|==|!!|\?\?)[A-Za-z][A-Za-z_]*(?: [A-Za-z_]+){0,2}(?:>{1,3}|\}{1,3}|\]{1,3}|%{1,2}|\${1,2}|@@|##|»|\^\^|~~|==|!!|\?\?)(?![\w/])"
     r"|(?<!\S)_{3,}(?!\S)|(?<!\S)\?{2,}(?!\S)|(?<!\S)[A-Z]+_[A-Z_]+(?!\S)"
 )
+#: Letters of scripts that set no blanks between words, and Hangul, which joins particles to what stands before.
+_DENSE = re.compile("[\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1100-\u11ff\u1780-\u17d3\u3005\u3041-\u30fa\u30fc-\u30ff\u3130-\u318f\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]+")
+_DENSE_MARKS = re.compile("[\u3001\u3002\u3008-\u3011\u3014-\u301b\u30fb\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f]")
 _PUNCT = " \t.,;:!?…*_#>=-—–·•|~\"'()"
 
 
@@ -136,6 +144,41 @@ def _skeleton(line: str) -> tuple[str, bool]:
     return key, "*" in words
 
 
+def _bars(line: str) -> bool:
+    """Whether a line is 2 to 13 pieces of up to 40 characters with bars or dots between; a pattern for it would take
+    exponential time on long table lines."""
+    n = len(line)
+    at = [i for i, c in enumerate(line) if c in "|·•›»"] if n <= 40 + 12 * 43 else []
+    ends = (1 << 41) - 2  # bit i: a piece may end before place i
+    for _ in range(12 if at else 0):
+        starts = 0
+        for i in at:
+            if ends >> i & 1 or i and line[i - 1] == " " and ends >> i - 1 & 1:
+                starts |= 1 << i + 1 | (1 << i + 2 if line[i + 1 : i + 2] == " " else 0)
+        ends = 0
+        for k in range(1, 41):
+            ends |= starts << k
+        if ends >> n & 1:
+            return True
+    return False
+
+
+def _spaced(sentence: str) -> str:
+    """``sentence`` with blanks around runs of letters of ``_DENSE``, so that values beside them are words of their own."""
+    if sentence.isascii():
+        return sentence
+    return _DENSE.sub(lambda m: f" {''.join(c for c in m[0] if c.isalpha())} ", _DENSE_MARKS.sub(" ", sentence))
+
+
+def _line_key(skeleton: str) -> int | None:
+    """Key of a line's skeleton; its last bit tells lines of few words. None without any word: nothing to align by."""
+    words = [w for w in skeleton.split() if w.strip("*")]
+    if not words:
+        return None
+    short = sum(max(1, len(w) // 2) if _DENSE.match(w) else 1 for w in words) + skeleton.count("*") < 4
+    return _key(skeleton) & ~1 | short
+
+
 def _is_code(line: str) -> bool:
     """Whether a line (no blanks at its ends) looks like code; the first tests spare most prose the pattern."""
     if line[-1] in "{;":
@@ -161,7 +204,7 @@ def features(text: str | None):
     entity = any(m not in html.entities.html5 and f"{m};" not in html.entities.html5 and f"{m.lower()};" not in html.entities.html5 for m in _ENTITY_SLOT.findall(_TICKS.sub(" ", _FENCE.sub("\n", text)))) if "&" in text else False
     prose = _TICKS.sub("\x02", _FENCE.sub("\n", text))
     lines = [" ".join(x.split()) for x in prose.split("\n")]
-    plain = [x for x in lines if x and not _is_code(x)]
+    plain = [x for x in lines if x and not _is_code(_spaced(x).strip() or x)]
     joined = "\n".join(plain)
     low = joined.lower()
     slot = entity or bool(_SLOT_SIGN.search(joined) and _SLOT.search(joined)) or "<" in joined and any((t not in _TAGS or t in _PAIRED and "</" not in low) and not re.fullmatch(r"h\d", t) and f"</{t}" not in low for t in _TAG_SLOT.findall(low))
@@ -169,13 +212,19 @@ def features(text: str | None):
     odd, filled = set(), set()
     for line in plain:
         for sentence in _SENTENCE.split(line):
-            if len(sentence) > 400 or sentence.count(" ") < 3:
-                continue
+            sentence = _spaced(sentence)
             k, values = _skeleton(sentence)
-            if values:
-                filled.add(_key(k))
+            if values and (key := _line_key(k)) is not None:
+                filled.add(key)
             if _ODD_SIGN.search(sentence) and (m := _ODD.search(sentence)) and m[0].strip("<>").lower() not in _TAGS:
-                odd.add(_key(_skeleton(_ODD.sub("0", sentence))[0]))
+                key = _line_key(_skeleton(_ODD.sub("0", sentence))[0])
+                if key is not None:
+                    odd.add(key)
+    for line in lines:
+        if ": " in line and _FIELD.fullmatch(line) and _is_code(line):
+            k, values = _skeleton(line)
+            if values and (key := _line_key(k)) is not None:
+                filled.add(key)
     anchors, other, page = _judge(text)
     return slot, anchors, other, page, sorted(odd), sorted(filled)
 
@@ -189,7 +238,7 @@ def _judge(text: str) -> tuple[int, int, int]:
         if not line:
             continue
         bare = line.lower()
-        if _EDGE.match(bare):
+        if _EDGE.match(bare) or _bars(bare):
             continue
         if "\x03" in line:
             return 0, LITTLE * 2, 0
@@ -259,6 +308,6 @@ def residue(documents: DataFrame) -> DataFrame:
     repeated = lookup(mixed, "page", times, "page").select("doc_id")
     # induced slots: templates whose slots several documents fill with values
     odd = f.filter("not slot and size(odd) > 0").select("doc_id", F.explode("odd").alias("key"))
-    template = f.select(F.explode("filled").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= {FILLED}")
+    template = f.select(F.explode("filled").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= if(key & 1 = 1, {FILLED_SHORT}, {FILLED})")
     unfilled = lookup(odd, "key", template, "key").select("doc_id")
     return marked.unionByName(bare).unionByName(repeated).unionByName(unfilled).distinct()

@@ -42,3 +42,28 @@ def test_query_and_induced_slots(spark):
 def test_long_texts():
     assert not judged("The parser checks each field. " * 20_000)
     assert judged("Lorem ipsum dolor sit amet. " * 20_000)
+
+
+@pytest.mark.parametrize(
+    ("line", "mark"),
+    [
+        ("Fixed in: {}", "____"), ("Version: {}", "~~version~~"), ("この版はバージョン{}に更新されました。", "~~version~~"), ("本软件包已升级到{}。", "==version=="), ("패키지가 {}로 업데이트되었습니다", "~~version~~"),
+        ("Eintrag " + "wort " * 120 + "{} und mehr", "~~name~~"), ("| " + "cell | " * 100 + "{} |", "~~name~~"),
+    ],
+)
+def test_lines_of_every_length_and_script(spark, line, mark):
+    rows = [(i, f"Prose of its own stands here with words.\n\n{line.format(f'{i}.2.3')}") for i in range(12)] + [(50, f"Prose of its own stands here with words.\n\n{line.format(mark)}")]
+    assert [r["doc_id"] for r in residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [50]
+
+
+def test_bars():
+    import random
+    import re
+
+    from riskloom.llm.residue import _bars
+
+    pattern, r = re.compile(r"^(?:.{1,40}(?: ?[|·•›»] ?.{1,40}){1,12})$"), random.Random(2)
+    for _ in range(3000):
+        n = r.choice([3, 20, 44, 60, 83])
+        line = "".join(r.choice("aaaaaaaaaaaaaaaaaaa bbbbbbb" if r.random() < 0.97 else "| ·") for _ in range(n))
+        assert _bars(line) == bool(pattern.match(line)), line
