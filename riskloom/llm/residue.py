@@ -32,13 +32,13 @@ from riskloom.session import Cuts, lookup
 #: Documents that must fill a slot with values before a line with a name there counts as unfilled.
 FILLED = 3
 #: The same for lines of few words, which more documents share by chance.
-FILLED_SHORT = 10
+FILLED_SHORT = 20
 #: Documents whose whole-page skeleton must agree to count as a repeated page.
 REPEATED = 3
 #: Words outside residue sentences that a repeated page may hold.
 LITTLE = 12
 
-_FEATURES = "doc_id bigint, slot boolean, anchors int, other int, page bigint, odd array<bigint>, filled array<bigint>"
+_FEATURES = "doc_id bigint, slot boolean, anchors int, other int, page bigint, odd array<bigint>, filled array<bigint>, named array<bigint>"
 
 _NAME = r"[A-Za-z][A-Za-z0-9_]*(?:[ .-][A-Za-z0-9_]+){0,4}"
 #: Marks of template languages around a name.
@@ -189,11 +189,12 @@ def _is_code(line: str) -> bool:
 
 
 def features(text: str | None):
-    """(slot, anchors, other, page, odd, filled) of a text; None if there is nothing to judge.
+    """(slot, anchors, other, page, odd, filled, named) of a text; None if there is nothing to judge.
 
     ``slot``: a template mark outside code. ``anchors``: sentences in place of content. ``other``: words in other
     sentences, headers, footers and short headings aside. ``page``: skeleton of the body. ``odd``, ``filled``:
-    skeletons of lines with an odd name in a slot's place, and of lines whose slots hold values.
+    skeletons of lines with an odd name in a slot's place, and of lines whose slots hold values and no odd name.
+    ``named``: those of ``odd`` whose name stands in marks.
     """
     if not text:
         return None
@@ -209,24 +210,27 @@ def features(text: str | None):
     low = joined.lower()
     slot = entity or bool(_SLOT_SIGN.search(joined) and _SLOT.search(joined)) or "<" in joined and any((t not in _TAGS or t in _PAIRED and "</" not in low) and not re.fullmatch(r"h\d", t) and f"</{t}" not in low for t in _TAG_SLOT.findall(low))
 
-    odd, filled = set(), set()
+    odd, filled, named = set(), set(), set()
     for line in plain:
         for sentence in _SENTENCE.split(line):
             sentence = _spaced(sentence)
             k, values = _skeleton(sentence)
-            if values and (key := _line_key(k)) is not None:
+            m = _ODD.search(sentence) if _ODD_SIGN.search(sentence) else None
+            if values and not m and (key := _line_key(k)) is not None:
                 filled.add(key)
-            if _ODD_SIGN.search(sentence) and (m := _ODD.search(sentence)) and m[0].strip("<>").lower() not in _TAGS:
+            if m and m[0].strip("<>").lower() not in _TAGS:
                 key = _line_key(_skeleton(_ODD.sub("0", sentence))[0])
                 if key is not None:
                     odd.add(key)
+                    if not m[0][0].isalpha() and m[0].strip("_?"):
+                        named.add(key)
     for line in lines:
         if ": " in line and _FIELD.fullmatch(line) and _is_code(line):
             k, values = _skeleton(line)
             if values and (key := _line_key(k)) is not None:
                 filled.add(key)
     anchors, other, page = _judge(text)
-    return slot, anchors, other, page, sorted(odd), sorted(filled)
+    return slot, anchors, other, page, sorted(odd), sorted(filled), sorted(named)
 
 
 def _judge(text: str) -> tuple[int, int, int]:
@@ -282,7 +286,7 @@ def residue_features(documents: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         names = [x.split()[0] for x in _FEATURES.split(", ")]
-        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -310,4 +314,8 @@ def residue(documents: DataFrame) -> DataFrame:
     odd = f.filter("not slot and size(odd) > 0").select("doc_id", F.explode("odd").alias("key"))
     template = f.select(F.explode("filled").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= if(key & 1 = 1, {FILLED_SHORT}, {FILLED})")
     unfilled = lookup(odd, "key", template, "key").select("doc_id")
-    return marked.unionByName(bare).unionByName(repeated).unionByName(unfilled).distinct()
+    # a line with a name in marks that several documents repeat was left unfilled in all of them
+    named = f.filter("not slot and size(named) > 0").select("doc_id", F.explode("named").alias("key"))
+    again = named.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= if(key & 1 = 1, {FILLED_SHORT}, {FILLED})")
+    copied = lookup(named, "key", again, "key").select("doc_id")
+    return marked.unionByName(bare).unionByName(repeated).unionByName(unfilled).unionByName(copied).distinct()

@@ -52,7 +52,7 @@ def test_long_texts():
     ],
 )
 def test_lines_of_every_length_and_script(spark, line, mark):
-    rows = [(i, f"Prose of its own stands here with words.\n\n{line.format(f'{i}.2.3')}") for i in range(12)] + [(50, f"Prose of its own stands here with words.\n\n{line.format(mark)}")]
+    rows = [(i, f"Prose of its own stands here with words.\n\n{line.format(f'{i}.2.3')}") for i in range(25)] + [(50, f"Prose of its own stands here with words.\n\n{line.format(mark)}")]
     assert [r["doc_id"] for r in residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [50]
 
 
@@ -67,3 +67,11 @@ def test_bars():
         n = r.choice([3, 20, 44, 60, 83])
         line = "".join(r.choice("aaaaaaaaaaaaaaaaaaa bbbbbbb" if r.random() < 0.97 else "| ·") for _ in range(n))
         assert _bars(line) == bool(pattern.match(line)), line
+
+
+def test_unfilled_lines_fill_nothing(spark):
+    said = lambda *texts: {r["doc_id"] for r in residue(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert said(*["Set LOG_LEVEL to a higher value."] * 4) == set()
+    assert said(*["The package ~~name~~ moved to the main branch."] * 2) == set()
+    assert said(*["The package ~~name~~ moved to the main branch."] * 3) == {0, 1, 2}
+    assert said("The package ~~name~~ moved to the main branch.", *(f"The package a-{i} moved to the main branch." for i in range(3))) == {0}
