@@ -74,6 +74,8 @@ _HTML = re.compile(r"</?[a-zA-Z][\w-]*(?: [^<>\n]{0,300})?/?>|<[!?][^<>\n]{0,300
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])\s+|(?<=[。！？])")
 _QUOTED = re.compile(r"\"[^\"\n]{3,}\"|“[^”\n]{3,}”|(?<!\w)'[^'\n]{4,}'(?!\w)|‘[^’\n]{4,}’")
 
+#: Something in brackets that is no link: no value, so a line of few words with it fills nothing.
+_SET_OFF = re.compile(r"(?<!\S)(?:\[(?![^\[\]]*\]\()|\{|<(?!https?:))")
 #: A field with a value: code by its look, but it fills the field of a template.
 _FIELD = re.compile(r"[A-Za-z][\w.-]*: [^\s\"'{}\[\]]+")
 
@@ -216,7 +218,7 @@ def features(text: str | None):
             sentence = _spaced(sentence)
             k, values = _skeleton(sentence)
             m = _ODD.search(sentence) if _ODD_SIGN.search(sentence) else None
-            if values and not m and (key := _line_key(k)) is not None:
+            if values and not m and (key := _line_key(k)) is not None and not (key & 1 and _SET_OFF.search(sentence)):
                 filled.add(key)
             if m and m[0].strip("<>").lower() not in _TAGS:
                 key = _line_key(_skeleton(_ODD.sub("0", sentence))[0])
@@ -316,6 +318,6 @@ def residue(documents: DataFrame) -> DataFrame:
     unfilled = lookup(odd, "key", template, "key").select("doc_id")
     # a line with a name in marks that several documents repeat was left unfilled in all of them
     named = f.filter("not slot and size(named) > 0").select("doc_id", F.explode("named").alias("key"))
-    again = named.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= if(key & 1 = 1, {FILLED_SHORT}, {FILLED})")
+    again = named.filter("key & 1 = 0").groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= {FILLED}")
     copied = lookup(named, "key", again, "key").select("doc_id")
     return marked.unionByName(bare).unionByName(repeated).unionByName(unfilled).unionByName(copied).distinct()

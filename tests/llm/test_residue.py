@@ -75,3 +75,7 @@ def test_unfilled_lines_fill_nothing(spark):
     assert said(*["The package ~~name~~ moved to the main branch."] * 2) == set()
     assert said(*["The package ~~name~~ moved to the main branch."] * 3) == {0, 1, 2}
     assert said("The package ~~name~~ moved to the main branch.", *(f"The package a-{i} moved to the main branch." for i in range(3))) == {0}
+
+
+def test_brackets_fill_no_short_line():
+    assert features("ok [1.2](x)\n")[5] and features("ok 1.2\n")[5] and not features("ok <|end|>\n")[5]
