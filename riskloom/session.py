@@ -6,13 +6,15 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more rows than this is joined by broadcast of its own rows instead of one shuffle partition.
 HOT_ROWS = 100_000
 #: Most rows of a table that may be broadcast by hint.
 BROADCAST_ROWS = 50_000
+#: Copies of a table among which the rows of too many hot keys are spread.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +59,11 @@ class Cuts:
         out._riskloom_path = path
         return out
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``cut(df)`` and its number of rows, counted while it is written."""
+        seen = Observation()
+        return self.cut(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete the files of cuts that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
@@ -73,29 +80,39 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, left_rows: int | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a costly step in Python: rows that lie in too few splits for the cores, as those of one small file, are dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
+def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, left_rows: int | None = None, table_rows: int | None = None) -> DataFrame:
     """Left rows joined (inner) to the unique ``table_key`` row of ``table`` without a hot partition.
 
-    A key with over ``HOT_ROWS`` left rows is answered by a broadcast of its single table row; there are
-    at most ``left rows / HOT_ROWS`` such keys, so that broadcast is bounded. All other keys shuffle.
+    A table proven to be small is broadcast. Otherwise the keys with over ``HOT_ROWS`` left rows, of which there are
+    at most ``left rows / HOT_ROWS``, are found and their table rows broadcast if they are proven to be few; if they
+    are not, left rows are spread over ``SALTS`` copies of the table. No key comes to the driver. ``left_rows`` and
+    ``table_rows`` spare counting what the caller knows. ``table`` is read more than once: give a cut.
     """
     right = table.withColumnRenamed(table_key, "_k")
     on = left[key] == right["_k"]
+    if table_rows is None:
+        table_rows = right.limit(BROADCAST_ROWS + 1).count()
+    if table_rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, "inner").drop("_k")
     if left_rows is not None and left_rows <= HOT_ROWS:
         return left.join(right, on, "inner").drop("_k")
-    hot = left.groupBy(key).count().filter(F.col("count") > HOT_ROWS).select(F.col(key).alias("_h"))
-    hot = [r["_h"] for r in hot.collect()]
-    if not hot:
+    hot = left.groupBy(F.col(key).alias("_h")).count().filter(F.col("count") > HOT_ROWS).select("_h")
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if not n:
         return left.join(right, on, "inner").drop("_k")
-    is_hot = F.col(key).isin(hot)
-    few = right.filter(F.col("_k").isin(hot))
-    a = left.filter(is_hot)
-    b = left.filter(~is_hot)
-    return (
-        a.join(F.broadcast(few), a[key] == few["_k"], "inner").drop("_k")
-        .unionByName(b.join(right, b[key] == right["_k"], "inner").drop("_k"))
-    )
-
-
-def null_of(kind: str) -> Column:
-    return F.lit(None).cast(kind)
+    if n > BROADCAST_ROWS:
+        salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))
+        spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = left.withColumn("_s", salt)
+        return salted.join(spread, (salted[key] == spread["_k"]) & (salted["_s"] == spread["_salt"]), "inner").drop("_k", "_s", "_salt")
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, right["_k"] == hot["_h"], "left_semi"))
+    a = left.join(hot, left[key] == hot["_h"], "left_semi")
+    b = left.join(hot, left[key] == hot["_h"], "left_anti")
+    return a.join(few, a[key] == few["_k"], "inner").drop("_k").unionByName(b.join(right, b[key] == right["_k"], "inner").drop("_k"))
