@@ -1,17 +1,30 @@
 """Template residue, filler and error-page text in place of content.
 
-Method. Lines of all documents are reduced to skeletons in which values (versions, identifiers, package names,
-dates, paths) are slots, so lines made from the same template align on one key. A line that holds something at
-such a place that is not a value but a name in marks (``<<version>>``) aligns with the template once that is taken for a slot too;
-if enough documents fill the slot with values, it is induced and this one was left unfilled. Marks of the usual
-template languages are taken for unfilled slots at once. Whole pages are judged by their sentences: headers, footers
-and headings aside, a page is residue if it says nothing but notices, errors, filler and unfilled fields, or if it
-holds such sentences and its whole-page skeleton repeats over several documents with little else in it.
+Method. *Slots.* Sentences of the same template are aligned on the tokens around a place: those that agree there have
+a slot between them, and the one to three tokens in it are its values, words as well as numbers. A sentence that holds a mark at this place (a
+name between mirrored signs, a blank, a variable's name, see ``templates``) keeps the slot unfilled. It counts if
+``FILLED`` documents fill the same place with different values, ``FILLED_SHORT`` where fewer than ``CONTEXT`` words
+stand around it. Signs that so prove to mark slots in ``PLACES`` places are taken for marks of a template language:
+they show slots wherever else they stand around a name that is known from a proved slot or from two kinds of signs,
+or around two different names of one text; so forms that nobody filled in at all are found too. ``FILLED`` documents
+with the same mark in the same sentence of ``CONTEXT`` words or more need no filled one beside them.
+
+*Pages.* Headers and footers are lines at the ends of texts that stand around many different others. The rest of a
+text, as the order of its sentences' skeletons, is its page. Sentences of real content go together with ever other
+sentences; those of an error page, a notice or a form come in the same few pages again and again. A sentence is
+*closed* if at least ``REPEATED`` different texts have it and these are at least ``CLOSED`` times as many as their
+pages, texts that differ in values alone being one: its pages stand under at least three headers and footers each, so
+they belong to no site. A text is residue if all of its sentences are closed, it has no code and at most
+``PAGE_WORDS`` different words: a longer text that repeats is a copied one.
+
+*Known* marks and notices (``notices``: fixed values) count at once, as one text alone can't be aligned.
 
 Code, fenced, in backticks or by the look of its lines, is left aside: slots belong there.
 
-Scale: one pass over the texts gives a narrow table of features, written once; skeleton counts are summed in the map
-step; suspicious lines look their template up without a hot partition.
+Scale: one pass over the texts writes keys of sentences, marks and edge lines (about 8 bytes a sentence), a second
+looks up the places of marks by a bitmap of at most 32 MB, so that of all possible values only those at a mark's
+place leave the map step. Everything else works on keys that are summed before the shuffle; lookups go through
+``session.lookup``. No list of documents or keys comes to the driver.
 
 Defined results: null, empty and blank texts are no case; very long texts are read whole; repeated texts are each
 reported; an empty table gives an empty result.
@@ -19,305 +32,216 @@ reported; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import html
-import html.entities
-import re
-import unicodedata
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import Cuts, lookup
+from riskloom.llm.leakage import seed_bitmap
+from riskloom.session import Cuts, lookup, spread
 
-#: Documents that must fill a slot with values before a line with a name there counts as unfilled.
+#: Documents that must fill a slot with values before a mark there counts as unfilled.
 FILLED = 3
-#: The same for lines of few words, which more documents share by chance.
+#: The same where fewer than ``CONTEXT`` words stand around the slot, which more sentences share by chance.
 FILLED_SHORT = 20
-#: Documents whose whole-page skeleton must agree to count as a repeated page.
+CONTEXT = 4
+#: Different proved places, and their share of all marks with the same signs, that make signs those of a template language.
+PLACES = 3
+SHARE = 0.05
+#: Documents that must have a line at their ends, or a sentence, before it can be a header or closed.
 REPEATED = 3
-#: Words outside residue sentences that a repeated page may hold.
-LITTLE = 12
-
-_FEATURES = "doc_id bigint, slot boolean, anchors int, other int, page bigint, odd array<bigint>, filled array<bigint>, named array<bigint>"
-
-_NAME = r"[A-Za-z][A-Za-z0-9_]*(?:[ .-][A-Za-z0-9_]+){0,4}"
-#: Marks of template languages around a name.
-_SLOT = re.compile(
-    "|".join(
-        (
-            rf"\{{\{{[#/^>&]? ?{_NAME} ?(?:\|[^{{}}\n]{{1,30}})?\}}\}}", rf"[$#]\{{ ?{_NAME} ?\}}", rf"<%[=-]? ?{_NAME} ?-?%>", rf"\{{% ?{_NAME} ?%\}}", rf"%\({_NAME}\)[sdifr]", rf"\[\[ ?{_NAME} ?\]\]",
-            rf"@@{_NAME}@@", rf"\$\${_NAME}\$\$", r"(?<![\w%])%[A-Za-z_]{2,30}%(?![\w%])", r"(?<!\w)__[A-Z][A-Z_]+__(?!\w)", r"(?<!\w)XX[A-Za-z_]{2,30}XX(?!\w)", r"«[A-Za-z_]{2,30}»", r"(?<![\w$#{])\{[A-Za-z_]{2,30}\}(?!\})",
-            r"(?<!\w)TODO\([A-Za-z_ ]{2,30}\)(?!:)", rf"\[(?:insert|enter|add|put|type|fill in|your|please) {_NAME}(?: here)?\]", rf"\[{_NAME} here\]", r"<<[A-Za-z_ ]{2,30}>>", r"(?<![\w<])<(?:insert|your|enter) [A-Za-z_ ]{2,30}>",
-        )
-    ),
-    re.I,
-)
-#: What every mark of ``_SLOT`` begins with.
-_SLOT_SIGN = re.compile(r"\{[{%A-Za-z_]|[$#]\{|<[%<A-Za-z]|%[(A-Za-z_]|\[|@@|\$\$|__[A-Za-z]|XX|xx|Xx|xX|«|TODO\(|todo\(|Todo\(", re.A)
-_CODE_WORDS = ("import ", "from ", "export ", "const ", "let ", "var ", "func ", "def ", "class ", "return", "if", "for", "while", "package ", "public ", "private ")
-_TAG_SLOT = re.compile(r"(?<![\w<&])<([a-z][a-z_]{1,30})>", re.I)
-_ENTITY_SLOT = re.compile(r"&([A-Za-z_]{2,30});")
-#: Element names of HTML and common XML; a tag of another name that is never closed is a slot.
-_TAGS = frozenset(
-    "a abbr address article aside audio b base bdi bdo blockquote body br button canvas caption center cite code col colgroup data datalist dd del details dfn dialog div dl dt em embed error fieldset figcaption figure font footer form frame frameset h head header hgroup hr html i iframe img input ins kbd label legend li link main map mark menu meta meter nav noscript object ol optgroup option output p param picture pre progress q resource rp rt ruby s samp script search section select slot small source span strike strong style sub sub sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr xml message status".split()
-)
-_UNSEEN = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\xad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb]")
-#: Elements that can't stand alone without an end tag; in a text without any end tag their names in brackets are slots.
-_PAIRED = frozenset("summary title link footer header address label source details code data time".split())
-_FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
-_TICKS = re.compile(r"`[^`\n]*`")
-_CODE_LINE = re.compile(
-    r"^\s*(?:import |from \S+ import|export |const |let |var |func |def |class |return\b|if ?\(|if err|for ?\(|while ?\(|package \w+$|public |private |[}\])]+[;,]?$|#include|@\w+$|//|\$ |>>> )|[{;]$|^\s*\"[^\"]+\": |^\s*[\w.-]+ ?:?= ?[\w.(\[]|=> \{|^\S+==\S+$|^\s*[\w@./:-]+(?:==|: \^?~?)\d\S*,?$"
-)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HTML = re.compile(r"</?[a-zA-Z][\w-]*(?: [^<>\n]{0,300})?/?>|<[!?][^<>\n]{0,300}>")
-_SENTENCE = re.compile(r"(?<=[.!?。！？…])\s+|(?<=[。！？])")
-_QUOTED = re.compile(r"\"[^\"\n]{3,}\"|“[^”\n]{3,}”|(?<!\w)'[^'\n]{4,}'(?!\w)|‘[^’\n]{4,}’")
-
-#: Something in brackets that is no link: no value, so a line of few words with it fills nothing.
-_SET_OFF = re.compile(r"(?<!\S)(?:\[(?![^\[\]]*\]\()|\{|<(?!https?:))")
-#: A field with a value: code by its look, but it fills the field of a template.
-_FIELD = re.compile(r"[A-Za-z][\w.-]*: [^\s\"'{}\[\]]+")
-
-#: Page headers and footers, those with bars aside.
-_EDGE = re.compile(
-    r"^(?:skip to .{3,30}|menu\W*|navigation|search|sign in|log ?in|© .{1,80}|\(c\) .{1,80}|copyright .{1,80}|all rights reserved\.?|page generated in .{1,30}|powered by .{1,40}|choose a language.{0,80}|we (?:count visits with|use) cookies.{0,80}|accept|decline|back to top|home|.{1,60} - project pages|generated .{1,40}|last updated.{0,40}|(?:[-*•>+] ?)?[@\w][\w@./:-]*)$"
+#: Share of different surroundings among the documents with a line at their ends that makes it a header or footer.
+DIVERSE = 0.5
+#: Documents with a closed sentence for each different page that has it.
+CLOSED = 3
+#: Most different words of a page.
+PAGE_WORDS = 50
+
+_FEATURES = (
+    "doc_id bigint, slot boolean, notices boolean, code boolean, words int, text bigint, keys array<bigint>, full bigint, "
+    "edges array<struct<line: bigint, at: int, n: int, s: bigint, once: boolean>>, marks array<struct<key: bigint, words: int, style: string, name: string>>"
 )
+_BODIES = "doc_id bigint, plain boolean, text bigint, page bigint, size int, keys array<bigint>"
+_VALUES = "key bigint, low bigint, high bigint"
 
-_SCRIPT = r"(?:java ?script|js|client-side code|ecma ?script|scripts?|scripting|active content|cookies?|browser)"
-#: Sentences that stand in place of content, in lower case and single blanks, marks at their ends aside.
-_ANCHORS = re.compile(
-    "|".join(
-        (
-            # scripts, cookies, another browser
-            rf"(?:please |you (?:need|have|must|will need)(?: to)? |(?:kindly|first) |to (?:use|view|see|open) .{{2,60}} )?(?:enable|allow|turn on|switch on|activate|permit|accept|unblock|update|upgrade|use) (?:a |an |your |the |another |newer |modern |supported )*{_SCRIPT}\b.{{0,120}}",
-            rf"(?:your |this |the )?{_SCRIPT}(?: and {_SCRIPT})? (?:is|are|has been|have been|have to be|must be|needs to be|need to be|seems?|appears?|may be) (?:currently )?(?:not |un|no longer )?(?:too old|out of date|outdated|supported|disabled|off|on|enabled|switched off|turned off|blocked|required|needed|missing|unsupported|active|allowed)\b.{{0,120}}",
-            rf".{{1,60}} (?:needs?|requires?|(?:does|do|will|can) ?not (?:work|run|load|start|open|display)(?: properly)? without|relies on|depends on) (?:\w+ )?{_SCRIPT}\b.{{0,60}}", rf"(?:we )?(?:could|can) ?not (?:display|show|start|open|load|render|run) .{{2,60}}: .{{0,40}}{_SCRIPT}\b.{{0,60}}",
-            r"(?:the|this|most|some|all|many|nothing|parts of)(?: [\w-]+){0,4} (?:will|may|can) ?(?:not (?:load|work|open|show|display|be (?:shown|displayed|loaded|available|visible)).{0,80}|(?:stay|be|remain) (?:hidden|blank|empty|unavailable|invisible|broken).{0,80})", r"checking your browser.{0,120}|(?:verifying|checking) (?:that )?you are (?:a )?human.{0,60}|prove (?:that )?you are (?:a )?human.{0,120}|(?:please )?(?:complete|solve) the (?:captcha|challenge).{0,60}",
-            r"this (?:happens on its own|process is automatic|check is automatic).{0,80}", r"loading\W*|please wait\W*|one moment\W*|redirecting.{0,60}", rf"if nothing (?:shows up|appears|happens|loads).{{0,120}}",
-            r".*(?:aktivieren sie|schalten sie|erlauben sie|benötigt|erfordert) .{0,30}(?:javascript|cookies|skripte).{0,100}|.*(?:activer|activez|autoriser|autorisez|nécessite) .{0,20}(?:javascript|cookies|scripts).{0,100}|.*(?:active|activar|habilite|habilitar|permita|requiere) .{0,20}(?:javascript|cookies).{0,100}|.*(?:включите|разрешите|требуется) .{0,20}(?:javascript|cookies|скрипты).{0,100}|.*javascript ?を(?:有効|オン).{0,60}|.*(?:启用|开启|打开|允许) ?javascript.{0,60}|.*(?:ative|abilita|attiva|habilite) (?:o |il )?javascript.{0,80}",
-            # errors and refusals
-            r"(?:http |error:? |error code:? |status:? |fehler:? |erreur:? |ошибка:? |エラー:? |错误:? )?[45]\d\d\b(?:[ :—–-]{1,3}[\w' ,-]{2,60})?", r"(?:error|fehler|erreur|ошибка|エラー|错误)(?: [45]\d\d)?", r"(?:not found|page not found|file not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|gone|access denied|permission denied|request (?:blocked|denied|timed out)|method not allowed|unavailable|(?:temporarily|currently) unavailable|server error|connection (?:refused|reset|timed out))",
-            r"(?:the )?requested (?:address|page|url|resource|file|document|path)\b.{0,120}", r"(?:(?:we are |we're |i am )?(?:very )?sorry|whoops|oops|uh-oh|h+m+|oh no)\b.{0,120}", r"(?:the|this|that|your) (?:page|file|entry|document|site|address|url|link|resource|article|item|repository|package|release|project|tracker|registry|issue|record|backend|server|service|database|upstream|gateway|system|origin|host|proxy|node|cluster|application|app|mirror|edge) (?:you (?:requested|are looking for|wanted) )?(?:is|are|was|has|have|had|may|might|could|can|cannot|can't|does|did|do|sent|timed|took|returned|answered|closed|reset|refused|dropped|no longer)\b (?:not |been |be |no longer |currently |temporarily |now )*(?:gone|moved|removed|deleted|found|loaded|displayed|shown|available|unavailable|reachable|accessible|shown|served|exist|exists|opened|down|overloaded|busy|offline|private|respond|responding|answer|answered|out|too long|an? (?:empty|invalid|bad|unexpected) (?:reply|response|answer)|the (?:connection|stream|request)|an error|a problem|under maintenance|being updated|restarting)\b.{0,80}",
-            r"it may be private.{0,80}|(?:you )?(?:may |might )?(?:have|need) to (?:sign|log) in (?:first|again).{0,60}|sign in again.{0,60}|(?:please )?(?:sign|log) in to (?:continue|see|view).{0,60}|your session (?:has )?(?:expired|ended|timed out).{0,60}", r"your request (?:was|has been) (?:blocked|denied|refused|rejected).{0,80}|(?:you|your (?:ip|client|address|account)) (?:have|has|are|is|do|does) (?:not |been )*(?:blocked|banned|denied|permitted|allowed|authorized|have (?:access|permission)).{0,80}|if you (?:think|believe) this is (?:a mistake|an error|wrong).{0,140}|(?:you do not|you don't) have (?:access|permission).{0,80}",
-            r"rate limit (?:was |has been )?(?:exceeded|reached|hit).{0,120}|(?:too many|quota) .{0,40}(?:exceeded|reached)", r"(?:we )?(?:could|can) ?not (?:connect|find|load|open|reach|display|process|complete|handle|serve)\b.{0,80}|(?:failed|unable) to (?:load|connect|fetch|open|render|display|reach)\b.{0,60}|an? (?:unexpected |internal |unknown )?error (?:has )?occurr?ed.{0,80}|something (?:went|has gone) wrong.{0,60}|we are working on it.{0,40}|our team has been (?:told|notified|informed).{0,40}", r"retry (?:after|in) \d+.{0,40}|(?:please )?(?:try|check) (?:again|the search|later|the address)\b.{0,60}|(?:please )?(?:go|head|return|get) back(?: to .{2,40})?|(?:please )?wait \d+ ?(?:s|seconds?|minutes?)\b.{0,40}|(?:next (?:attempt|try)|reload(?:ing)?|retrying) in .{1,30}|use the (?:menu|search)\b.{0,40}|(?:trace|reference|ref|request id|incident|ray id|id)[ :=]+[0-9a-f-]{6,}|\(?(?:id|ref|trace|code)[ =:]+[0-9a-f]{4,}\)?|\[[0-9a-f]{4,}\]|the (?:site|server|service|system) is (?:down|offline|being|under|closed)\b.{0,60}|(?:scheduled|planned|down for) maintenance.{0,60}",
-            r".*(?:konnte|kann) nicht (?:gefunden|geladen|angezeigt) werden.{0,60}|zurück zur startseite|.*n'existe pas ou a été (?:déplacée|supprimée).{0,40}|.*(?:page|ressource) (?:introuvable|demandée).{0,60}|.*(?:página|recurso) (?:no (?:encontrad[ao]|existe)|que busca).{0,60}|.*(?:страница|ресурс) (?:не найден[ао]?|не существует|удален[ао]?).{0,60}|.*(?:ページ|アドレス).{0,20}(?:見つかりません|存在しません|ご確認ください).{0,40}|.*(?:页面|网页|地址).{0,20}(?:不存在|找不到|未找到|已删除).{0,40}|acceso denegado.{0,60}|accès refusé.{0,60}|zugriff verweigert.{0,60}|доступ запрещ[её]н.{0,60}",
-            r"\{ ?\"?(?:status|error|code|message|errors|detail|ok|success)\"? ?:.{0,400}(?:error|status|message|denied|missing|not found|false|[45]\d\d).{0,300}\}", r"traceback \(most recent call last\):|file \"[^\"]+\", line \d+.{0,80}|(?:return|raise) \w+.{0,80}|\w*(?:error|exception)(?:: .{0,120})?|at [\w.$<>]+\(.{0,80}\)|.*\[object object\].{0,120}|.*undefined undefined.{0,120}|(?:undefined|null|nan|invalid date)(?: (?:undefined|null|nan|invalid date))*|(?:slowdown|accessdenied|nosuchkey|expiredtoken|internalerror|nosuchbucket|invalidaccesskeyid|requesttimeout|signaturedoesnotmatch)\b.{0,120}|(?:edge|nginx|apache|cloudfront|openresty)/?[\d.]*",
-            # filler
-            r"lorem ipsum.{0,400}", r"(?:this is )?(?:some |a )?(?:sample|dummy|example|placeholder|filler|test) (?:text|paragraph|content|page)\b.{0,60}|replace this (?:paragraph|text|section|page|line|content)\b.{0,80}|(?:your|the) (?:text|content|title|heading|headline|description) (?:goes )?here|.{0,60}\bgo(?:es)? here|.*(?:blindtext|platzhaltertext|mustertext|beispieltext).{0,80}|hier entsteht .{0,80}|.*texte (?:provisoire|factice|d'exemple|de remplissage).{0,80}|.*texto (?:de relleno|provisional|de ejemplo|de muestra).{0,80}|.*ここに.{1,20}(?:が入ります|を入力|を書いて).{0,20}|.*(?:此处|这里)(?:填写|输入|添加|放置|是占位).{0,40}|.*(?:占位文本|示例文本).{0,40}|.*(?:текст-заполнитель|здесь будет|пример текста|текст появится).{0,60}",
-            r"(?:page |site |this (?:page|site|section) is )?(?:still )?(?:under construction|coming soon|work in progress)\W*|(?:content|details|text|more|description|documentation) (?:to follow|coming soon|will follow|to come|follows)\W*|nothing (?:here|to see)(?: here)?(?: yet)?\W*|(?:watch|check) (?:this space|back soon|back later)\W*|(?:to be|tb[acd]\b).{0,30}",
-            # forms nobody filled in
-            r"[\w .,()/-]{2,40}:(?: ?(?:tb[acd]|to ?do|fix ?me|n/?a|none|unknown|-+|\?+|\.{2,}|…|_+|x{2,}|\[[^\]]{0,40}\]|<[^>]{0,40}>|\([^)]{0,20}\)))?", r"(?:\d+[.)]|[-*+]|\[ ?\]|[-*+] \[ ?\].{0,80})", r"\[(?:your|please|insert|enter|describe|add|fill|e\.g\.|for example|optional|name|date|title|x|link|url|version|complete).{0,80}\]", r"an? (?:short|clear|brief|concise|detailed|one-|few)[\w ,-]{0,40}(?:sentence|description|summary|explanation|line|paragraph|overview)\b.{0,80}|(?:please )?(?:describe|tell us|enter|insert|fill in|summari[sz]e) (?:the|your|what|how|any|here|in|this|which)\b.{0,60}(?:\(todo\)|\.{3}|…)?|(?:please )?(?:describe|explain|list|provide|add|write|attach|link) (?:the|your|what|how|any|a|an|all|here|steps|more|this|which)\b.{0,60}(?:\(todo\)|\.{3}|…)|(?:first|second|next|another|last) (?:change|item|entry|point|fix|feature|bullet)(?: \(todo\)|\W{0,4})|if applicable,? .{0,80}|steps? (?:to follow|go here|here)\W*|.{0,60}\(todo\)|todo(?::.{0,60})?|tbd|fixme.{0,40}|(?:first|second|third)? ?step\W*",
-        )
-    ),
-    re.S,
-)
-_HEADING = re.compile(r"(?:#{1,6} .{1,60}|[^.!?。]{1,40}\??)")
-#: Words of filler that nobody reads.
-_FILLER = frozenset(
-    "foo bar baz qux quux corge grault garply test testing blah bla xxx xxxx asdf asdfgh qwer qwerty jkl hjkl zxcv uiop yxcv abc 123 1234 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-    " porta erat tellus sapien nibh luctus orci dictum cursus mauris vivamus fringilla vestibulum pellentesque habitant morbi tristique senectus netus malesuada fames turpis egestas proin sollicitudin bibendum viverra lacinia congue risus ornare augue ligula pulvinar faucibus semper pretium hendrerit lectus suspendisse potenti aenean nullam donec quisque praesent maecenas phasellus etiam integer curabitur".split()
-)
-#: Small words without which no prose gets along; Latin filler has none of them.
-_SMALL = frozenset("the of is are was were to and with for that this it be by from at on as not der die das und ist mit von den le les des du est une un dans el los las del es una con por que y de la".split())
-#: A name in marks that no list of template languages knows, a run of blanks or marks, or a variable's name.
-_ODD = re.compile(
-    r"(?<![\w/.])(?:<{1,3}|\{{1,3}|\[{1,3}|%{1,2}|\${1,2}|@@|##|«|\^\^|~~|==|!!|\?\?)[A-Za-z][A-Za-z_]*(?: [A-Za-z_]+){0,2}(?:>{1,3}|\}{1,3}|\]{1,3}|%{1,2}|\${1,2}|@@|##|»|\^\^|~~|==|!!|\?\?)(?![\w/])"
-    r"|(?<!\S)_{3,}(?!\S)|(?<!\S)\?{2,}(?!\S)|(?<!\S)[A-Z]+_[A-Z_]+(?!\S)"
-)
-#: Letters of scripts that set no blanks between words, and Hangul, which joins particles to what stands before.
-_DENSE = re.compile("[\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1100-\u11ff\u1780-\u17d3\u3005\u3041-\u30fa\u30fc-\u30ff\u3130-\u318f\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]+")
-_DENSE_MARKS = re.compile("[\u3001\u3002\u3008-\u3011\u3014-\u301b\u30fb\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f]")
-_PUNCT = " \t.,;:!?…*_#>=-—–·•|~\"'()"
-
-
-def _key(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
-def _skeleton(line: str) -> tuple[str, bool]:
-    """The plain words of a line with one mark for whatever stands between them, and whether anything does."""
-    words = [w if w.isalpha() else w[:-1] if w[-1] in ".,;:!?)" and w[:-1].isalpha() else "*" for w in line.split()]
-    key = " ".join(words).lower()
-    while "* *" in key:
-        key = key.replace("* *", "*")
-    return key, "*" in words
-
-
-def _bars(line: str) -> bool:
-    """Whether a line is 2 to 13 pieces of up to 40 characters with bars or dots between; a pattern for it would take
-    exponential time on long table lines."""
-    n = len(line)
-    at = [i for i, c in enumerate(line) if c in "|·•›»"] if n <= 40 + 12 * 43 else []
-    ends = (1 << 41) - 2  # bit i: a piece may end before place i
-    for _ in range(12 if at else 0):
-        starts = 0
-        for i in at:
-            if ends >> i & 1 or i and line[i - 1] == " " and ends >> i - 1 & 1:
-                starts |= 1 << i + 1 | (1 << i + 2 if line[i + 1 : i + 2] == " " else 0)
-        ends = 0
-        for k in range(1, 41):
-            ends |= starts << k
-        if ends >> n & 1:
-            return True
-    return False
-
-
-def _spaced(sentence: str) -> str:
-    """``sentence`` with blanks around runs of letters of ``_DENSE``, so that values beside them are words of their own."""
-    if sentence.isascii():
-        return sentence
-    return _DENSE.sub(lambda m: f" {''.join(c for c in m[0] if c.isalpha())} ", _DENSE_MARKS.sub(" ", sentence))
-
-
-def _line_key(skeleton: str) -> int | None:
-    """Key of a line's skeleton; its last bit tells lines of few words. None without any word: nothing to align by."""
-    words = [w for w in skeleton.split() if w.strip("*")]
-    if not words:
-        return None
-    short = sum(max(1, len(w) // 2) if _DENSE.match(w) else 1 for w in words) + skeleton.count("*") < 4
-    return _key(skeleton) & ~1 | short
-
-
-def _is_code(line: str) -> bool:
-    """Whether a line (no blanks at its ends) looks like code; the first tests spare most prose the pattern."""
-    if line[-1] in "{;":
-        return True
-    if line[0] in "}])\"$>@#/" or "=" in line or line.startswith(_CODE_WORDS) or ": " in line and line.count(" ") == 1:
-        return bool(_CODE_LINE.search(line))
-    return False
-
-
-def features(text: str | None):
-    """(slot, anchors, other, page, odd, filled, named) of a text; None if there is nothing to judge.
-
-    ``slot``: a template mark outside code. ``anchors``: sentences in place of content. ``other``: words in other
-    sentences, headers, footers and short headings aside. ``page``: skeleton of the body. ``odd``, ``filled``:
-    skeletons of lines with an odd name in a slot's place, and of lines whose slots hold values and no odd name.
-    ``named``: those of ``odd`` whose name stands in marks.
-    """
-    if not text:
-        return None
-    text = unicodedata.normalize("NFC", text)
-    text = _UNSEEN.sub("", text)
-    if not text.strip():
-        return None
-    entity = any(m not in html.entities.html5 and f"{m};" not in html.entities.html5 and f"{m.lower()};" not in html.entities.html5 for m in _ENTITY_SLOT.findall(_TICKS.sub(" ", _FENCE.sub("\n", text)))) if "&" in text else False
-    prose = _TICKS.sub("\x02", _FENCE.sub("\n", text))
-    lines = [" ".join(x.split()) for x in prose.split("\n")]
-    plain = [x for x in lines if x and not _is_code(_spaced(x).strip() or x)]
-    joined = "\n".join(plain)
-    low = joined.lower()
-    slot = entity or bool(_SLOT_SIGN.search(joined) and _SLOT.search(joined)) or "<" in joined and any((t not in _TAGS or t in _PAIRED and "</" not in low) and not re.fullmatch(r"h\d", t) and f"</{t}" not in low for t in _TAG_SLOT.findall(low))
-
-    odd, filled, named = set(), set(), set()
-    for line in plain:
-        for sentence in _SENTENCE.split(line):
-            sentence = _spaced(sentence)
-            k, values = _skeleton(sentence)
-            m = _ODD.search(sentence) if _ODD_SIGN.search(sentence) else None
-            if values and not m and (key := _line_key(k)) is not None and not (key & 1 and _SET_OFF.search(sentence)):
-                filled.add(key)
-            if m and m[0].strip("<>").lower() not in _TAGS:
-                key = _line_key(_skeleton(_ODD.sub("0", sentence))[0])
-                if key is not None:
-                    odd.add(key)
-                    if not m[0][0].isalpha() and m[0].strip("_?"):
-                        named.add(key)
-    for line in lines:
-        if ": " in line and _FIELD.fullmatch(line) and _is_code(line):
-            k, values = _skeleton(line)
-            if values and (key := _line_key(k)) is not None:
-                filled.add(key)
-    anchors, other, page = _judge(text)
-    return slot, anchors, other, page, sorted(odd), sorted(filled), sorted(named)
-
-
-def _judge(text: str) -> tuple[int, int, int]:
-    """(anchors, other, page) of a text; (0, other, 0) as soon as other words tell that it has content."""
-    comments = len(_COMMENT.findall(text)) if "<!--" in text else 0
-    anchors, other, body = comments, 0, []
-    for raw in _COMMENT.sub(" ", _FENCE.sub("\n\x03\n", text)).split("\n"):
-        line = " ".join(html.unescape(_HTML.sub(" ", raw) if "<" in raw else raw).split())
-        if not line:
-            continue
-        bare = line.lower()
-        if _EDGE.match(bare) or _bars(bare):
-            continue
-        if "\x03" in line:
-            return 0, LITTLE * 2, 0
-        body.append(_skeleton(line)[0])
-        words = re.findall(r"\w+", bare)
-        if "`" in line:
-            other += len(words)
-        elif _is_filler(words):
-            anchors += 1
-        elif bare[0] in "{[<(" and _ANCHORS.fullmatch(bare) or _TRACE.match(bare) and _ANCHORS.fullmatch(bare):
-            anchors += 1
-        else:
-            for sentence in _SENTENCE.split(bare):
-                s = sentence.strip(_PUNCT)
-                if not s:
-                    anchors += sentence.strip() in ("1.", "2.", "3.", "4.", "5.", "-", "*")
-                elif not _QUOTED.search(sentence) and (_ANCHORS.fullmatch(sentence.strip()) or _ANCHORS.fullmatch(s)):
-                    anchors += 1
-                elif not (len(words) <= 5 and _HEADING.fullmatch(bare)):
-                    other += max(1, len(re.findall(r"\w+", s)), len(s) // 8)
-                    if other > LITTLE:
-                        return 0, other, 0
-        if other > LITTLE:
-            return 0, other, 0
-    return anchors, other, _key("\n".join(body))
-
-
-def _is_filler(words: list[str]) -> bool:
-    """Words of keyboard or Latin filler: most of them known, or a good part and no small word of a living language."""
-    known = sum(w in _FILLER for w in words)
-    return len(words) >= 3 and known >= 0.7 * len(words) or len(words) >= 5 and known >= 0.2 * len(words) and all(w.isalpha() and w not in _SMALL for w in words)
-
-
-_TRACE = re.compile(r"file \"|\w*(?:error|exception)(?:: |$)|return |raise |traceback")
-_ODD_SIGN = re.compile(r"[{<\[%$@#«_?~^!=]")
 
 def residue_features(documents: DataFrame) -> DataFrame:
-    """Features of each document that has text to judge, see ``features``."""
+    """Keys of each document's sentences, its lines at the ends and its marks, and what it shows by itself."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        names = [x.split()[0] for x in _FEATURES.split(", ")]
-        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        from riskloom.llm.notices import marks_and_notices
+        from riskloom.llm.templates import EDGE, Reader, ordered
+
+        reader = Reader()
+        edge = pa.struct([("line", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("s", pa.int64()), ("once", pa.bool_())])
+        mark = pa.struct([("key", pa.int64()), ("words", pa.int32()), ("style", pa.string()), ("name", pa.string())])
+        kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(edge), pa.list_(mark))
+        names = ["doc_id", "slot", "notices", "code", "words", "text", "keys", "full", "edges", "marks"]
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                f = features(text)
-                if f is not None:
-                    out.append((doc, *f))
+                slot, notices = marks_and_notices(text)
+                with np.errstate(over="ignore"):
+                    read = reader.read(text)
+                    if read is None:
+                        if slot or notices:
+                            out.append((doc, slot, notices, False, 0, 0, [], 0, [], []))
+                        continue
+                    h, starts, of_line, code, marks = read
+                    all_keys = reader.skeletons(h, starts)
+                    said = np.flatnonzero(all_keys)
+                    keys, lines = all_keys[said], np.array(of_line)[said]
+                    places = []
+                    if marks:
+                        at, around = reader.places(h, starts, marks)
+                        places = [{"key": int(k), "words": int(w), "style": style, "name": name} for k, w, (_, style, name) in zip(at.view(np.int64), around, marks, strict=True)]
+                    begins = np.flatnonzero(np.diff(lines, prepend=-1)) if len(keys) else np.array([], int)
+                    ends = np.append(begins[1:], len(keys))
+                    edges, seen = [], set()
+                    if len(begins) > 1 or code and len(begins):
+                        for i in sorted({*range(min(EDGE, len(begins))), *range(max(0, len(begins) - EDGE), len(begins))}):
+                            here = keys[begins[i] : ends[i]]
+                            line = ordered(here.tolist())
+                            edges.append({"line": line, "at": int(begins[i]), "n": len(here), "s": int(np.bitwise_xor.reduce(here).view(np.int64)), "once": line not in seen})
+                            seen.add(line)
+                    full = int(np.bitwise_xor.reduce(keys).view(np.int64)) if len(keys) else 0
+                    out.append((doc, slot, notices, code, len(np.unique(h)), ordered(keys.tolist()), keys.view(np.int64).tolist(), full, edges, places))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, _FEATURES)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, _FEATURES)
 
 
-def residue(documents: DataFrame) -> DataFrame:
-    """doc_id of the documents that hold residue in place of content."""
+def fillings(documents: DataFrame, bitmap, bits: int) -> DataFrame:
+    """(key, low, high): for each document and each place of a mark that it fills, the least and greatest of its values."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from riskloom.llm.templates import Reader
+
+        reader = Reader()
+        table = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                with np.errstate(over="ignore"):
+                    read = reader.read(text, True)
+                    if read is None:
+                        continue
+                    keys, values = reader.values(read[0], read[1])
+                    b = keys >> np.uint64(64 - bits)
+                    at = np.flatnonzero(table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        order = at[np.lexsort((values[at], keys[at]))]
+                        k = keys[order]
+                        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                        last = np.append(first[1:], len(k)) - 1
+                        out.append((k[first].view(np.int64), values[order[first]].view(np.int64), values[order[last]].view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "low", "high"])
+
+    return spread(documents.select("text")).mapInArrow(run, _VALUES)
+
+
+def unfilled(documents: DataFrame, features: DataFrame, cuts: Cuts) -> DataFrame:
+    """doc_id of the documents with a mark in a proved slot, or with proved signs around a name."""
+    spark = documents.sparkSession
+    marks = cuts.cut(features.filter("size(marks) > 0").select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.*"))
+    table, bits = seed_bitmap(marks.filter("words > 0").select(F.col("key").alias("seed")))
+    filled = fillings(documents, spark.sparkContext.broadcast(table), bits).groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # the bitmap knows some keys too many; the lookup is exact
+    filled = cuts.cut(filled.filter(f"times >= {FILLED} and low <> high").select("key", "times"))
+    proved = cuts.cut(lookup(marks.filter("words > 0"), "key", filled, "key").filter(f"times >= if(words >= {CONTEXT}, {FILLED}, {FILLED_SHORT})"))
+    by_style = proved.filter("style <> ''").groupBy("style", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("style").agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("n"))
+    signs = by_style.join(marks.groupBy("style").agg(F.count(F.lit(1)).alias("all")), "style").filter(f"places >= {PLACES} and n >= {SHARE} * all").select(F.col("style").alias("_style"))
+    signed = lookup(marks, "style", cuts.cut(signs), "_style")
+    # a name is known from a proved slot, or from two kinds of signs
+    names = proved.filter("style <> ''").select("name", "style", F.lit(True).alias("p")).unionByName(signed.select("name", "style", F.lit(False).alias("p")))
+    names = names.groupBy("name", "style").agg(F.max("p").alias("p")).groupBy("name").agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("kinds")).filter("p or kinds > 1").select(F.col("name").alias("_name"))
+    known = lookup(signed, "name", cuts.cut(names), "_name").select("doc_id")
+    several = signed.groupBy("doc_id").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b").select("doc_id")
+    # a line of some words that several documents repeat with a name in signs was left unfilled in all of them
+    named = marks.filter(f"style <> '' and words >= {CONTEXT}").select("doc_id", "key")
+    again = named.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= {FILLED}").select(F.col("key").alias("_key"))
+    copied = lookup(named, "key", cuts.cut(again), "_key").select("doc_id")
+    return proved.select("doc_id").unionByName(known).unionByName(several).unionByName(copied).distinct()
+
+
+def edge_lines(features: DataFrame, cuts: Cuts) -> DataFrame:
+    """line: the headers and footers, lines at the ends of documents that stand around many different others."""
+    many = f"n >= {REPEATED} and rests >= greatest({REPEATED}, {DIVERSE} * n)"
+    rows = features.filter("size(edges) > 0").select("doc_id", F.col("code").cast("bigint").alias("c"), F.size("keys").alias("total"), "full", F.explode("edges").alias("e")).filter("e.once")
+    rows = rows.select("doc_id", "c", "total", "full", "e.line", "e.n", "e.s")
+
+    def diverse(surroundings: DataFrame) -> DataFrame:
+        # summed by line and surroundings first, so that a line which a third of all documents have is spread
+        each = surroundings.groupBy("line", "rest", "some").agg(F.count(F.lit(1)).alias("k"))
+        return each.groupBy("line").agg(F.sum("k").alias("n"), F.count_if("some").alias("rests")).filter(many).select("line", F.col("n").alias("times"))
+
+    wide = cuts.cut(diverse(rows.select("line", F.col("full").bitwiseXOR(F.col("s")).bitwiseXOR(F.col("c")).alias("rest"), ((F.col("total") > F.col("n")) | (F.col("c") > 0)).alias("some"))))
+    # once more without the commoner of these lines: a notice isn't a header because it stands under different headers
+    near = lookup(rows, "line", wide.withColumnRenamed("line", "_line"), "_line")
+    near = near.groupBy("doc_id").agg(F.first("c").alias("c"), F.first("total").alias("total"), F.first("full").alias("full"), F.collect_list(F.struct("line", "n", "s", "times")).alias("es"))  # at most 2 * EDGE
+    near = near.select("c", "total", "full", "es", F.explode("es").alias("e"))
+    others = F.filter("es", lambda x: (x["line"] == F.col("e.line")) | (x["times"] >= F.col("e.times")))
+    taken = F.aggregate(others, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x["s"]))
+    left = F.col("total") - F.aggregate(others, F.lit(0), lambda a, x: a + x["n"])
+    return cuts.cut(diverse(near.select("e.line", F.col("full").bitwiseXOR(taken).bitwiseXOR(F.col("c")).alias("rest"), ((left > 0) | (F.col("c") > 0)).alias("some"))).select("line"))
+
+
+def bodies(features: DataFrame, headers: DataFrame) -> DataFrame:
+    """doc_id, plain (short and without code), page, size and keys: each document without its headers and footers."""
+    slots = features.filter("size(edges) > 0").select("doc_id", F.explode("edges").alias("e")).select("doc_id", "e.line", "e.at", "e.n")
+    drop = lookup(slots, "line", headers.withColumnRenamed("line", "_line"), "_line").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("drop"))  # at most 2 * EDGE
+    rows = features.filter("size(keys) > 0").select("doc_id", "code", "words", "text", "keys").join(drop, "doc_id", "left")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from riskloom.llm.templates import ordered, unit
+
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        names = ["doc_id", "plain", "text", "page", "size", "keys"]
+        for batch in batches:
+            out = []
+            for doc, code, words, text, keys, drop in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "code", "words", "text", "keys", "drop")), strict=True):
+                gone = {i for d in drop or () for i in range(d["at"], d["at"] + d["n"])}
+                body = unit([k for i, k in enumerate(keys) if i not in gone] if gone else keys)
+                if body:
+                    own = sorted(set(body))
+                    out.append((doc, not code and words <= PAGE_WORDS, text, ordered(body), len(own), own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, _BODIES)
+
+
+def repeated(features: DataFrame, cuts: Cuts) -> DataFrame:
+    """doc_id of the documents whose page says nothing but closed sentences."""
+    docs = cuts.cut(bodies(features, edge_lines(features, cuts)))
+    texts = docs.groupBy("text", "page").agg(F.first("size").alias("size"), F.first("plain").alias("plain"), F.first("keys").alias("keys"))  # copies, and texts that differ in values alone, are one
+    said = cuts.cut(texts.select("page", "plain", "size", F.explode("keys").alias("key")).groupBy("key", "page").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.bool_or("plain").alias("plain")))
+    closed = said.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages")).filter(f"n >= {REPEATED} and n >= {CLOSED} * pages").select("key")
+    pages = lookup(said.filter("plain"), "key", cuts.cut(closed).withColumnRenamed("key", "_key"), "_key")
+    pages = pages.groupBy("page").agg(F.count(F.lit(1)).alias("closed"), F.max("size").alias("size")).filter("closed = size").select("page")
+    return lookup(docs.filter("plain").select("doc_id", "page"), "page", cuts.cut(pages).withColumnRenamed("page", "_page"), "_page").select("doc_id")
+
+
+def residue_branches(documents: DataFrame) -> DataFrame:
+    """(doc_id, branch): ``slots`` and ``pages`` out of the alignment, ``marks`` and ``notices`` out of the fixed values."""
     cuts = Cuts(documents.sparkSession, "residue")
     f = cuts.cut(residue_features(documents))
-    marked = f.filter("slot").select("doc_id")
-    pages = f.filter("anchors > 0 and not slot")
-    bare = pages.filter("other = 0").select("doc_id")
-    # repeated pages: counts by skeleton over the few pages that hold such sentences and little else
-    mixed = pages.filter(f"other > 0 and other <= {LITTLE}").select("doc_id", "page")
-    times = mixed.groupBy("page").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= {REPEATED}")
-    repeated = lookup(mixed, "page", times, "page").select("doc_id")
-    # induced slots: templates whose slots several documents fill with values
-    odd = f.filter("not slot and size(odd) > 0").select("doc_id", F.explode("odd").alias("key"))
-    template = f.select(F.explode("filled").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= if(key & 1 = 1, {FILLED_SHORT}, {FILLED})")
-    unfilled = lookup(odd, "key", template, "key").select("doc_id")
-    # a line with a name in marks that several documents repeat was left unfilled in all of them
-    named = f.filter("not slot and size(named) > 0").select("doc_id", F.explode("named").alias("key"))
-    again = named.filter("key & 1 = 0").groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(f"times >= {FILLED}")
-    copied = lookup(named, "key", again, "key").select("doc_id")
-    return marked.unionByName(bare).unionByName(repeated).unionByName(unfilled).unionByName(copied).distinct()
+    found = {"slots": unfilled(documents, f, cuts), "pages": repeated(f, cuts), "marks": f.filter("slot").select("doc_id"), "notices": f.filter("notices").select("doc_id")}
+    out = None
+    for branch, ids in found.items():
+        ids = ids.select("doc_id", F.lit(branch).alias("branch"))
+        out = ids if out is None else out.unionByName(ids)
+    return out
+
+
+def residue(documents: DataFrame) -> DataFrame:
+    """doc_id of the documents that hold residue in place of content."""
+    return residue_branches(documents).select("doc_id").distinct()

@@ -1,6 +1,7 @@
 import pytest
 
-from riskloom.llm.residue import features, residue
+from riskloom.llm.notices import marks_and_notices
+from riskloom.llm.residue import residue, residue_branches
 
 PAGES = [
     "Please enable JavaScript to view this page.", "Skip to content\n\nPlease turn on scripts to use this app.\n\nPage generated in 0.41 s", "Your browser is out of date. This app needs scripts and cookies.", "Loading...\n\nIf nothing shows up, scripts may be blocked in your browser settings.", "Checking your browser before opening this page. This happens on its own and takes up to 5 seconds.",
@@ -16,8 +17,7 @@ CONTENT = [
 
 
 def judged(text):
-    f = features(text)
-    return bool(f and (f[0] or f[1] > 0 and f[2] == 0))
+    return any(marks_and_notices(text))
 
 
 @pytest.mark.parametrize("text", PAGES)
@@ -60,7 +60,7 @@ def test_bars():
     import random
     import re
 
-    from riskloom.llm.residue import _bars
+    from riskloom.llm.notices import _bars
 
     pattern, r = re.compile(r"^(?:.{1,40}(?: ?[|·•›»] ?.{1,40}){1,12})$"), random.Random(2)
     for _ in range(3000):
@@ -77,5 +77,45 @@ def test_unfilled_lines_fill_nothing(spark):
     assert said("The package ~~name~~ moved to the main branch.", *(f"The package a-{i} moved to the main branch." for i in range(3))) == {0}
 
 
-def test_brackets_fill_no_short_line():
-    assert features("ok [1.2](x)\n")[5] and features("ok 1.2\n")[5] and not features("ok <|end|>\n")[5]
+def test_brackets_fill_nothing():
+    import numpy as np
+
+    from riskloom.llm.templates import Reader
+
+    with np.errstate(over="ignore"):
+        r = Reader()
+        fills = lambda text: len(r.values(*r.read(text, True)[:2])[0])
+        assert fills("ok [1.2](x)\n") and fills("ok 1.2\n") and not fills("ok <|end|>\n")
+
+
+def test_words_are_values_and_signs_need_no_list(spark):
+    """Phrasings and signs that no rule names: siblings filled with words prove the slot, the signs then count elsewhere."""
+    people = ("Anna", "Boris from Minsk", "the whole team", "Chen")
+    rows = [f"Dear {p}, your parcel from the shop has left the house on {d}." for p, d in zip(people, ("Monday", "Friday", "2 May", "Sunday"), strict=True)]
+    rows += ["Dear *|FNAME|*, your parcel from the shop has left the house on Monday.", "Dear Anna, your parcel from the shop has left the house on *|DAY|*."]
+    rows += [f"We thank {p} for the long letter about our little garden in spring." for p in people] + ["We thank *|FNAME|* for the long letter about our little garden in spring."]
+    rows += ["*|GREETING|*\n\n*|BODY|*", "A *|lonely|* sign that no template proves."]
+    got = {r["doc_id"]: r["branch"] for r in residue_branches(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert got == dict.fromkeys((4, 5, 10, 11), "slots")
+
+
+UNSEEN_PAGES = (
+    "We'll be right back. Our engineers are on the job.", "Host is asleep. Gateway gave up after {n} seconds of waiting.", "Kein Anschluss unter dieser Adresse {n}. Drücken Sie eine Taste.", "Whoopsie daisy! Nothing lives at room {n}.",
+    "Your coffee is being brewed, ticket {n}. Hold the line.", "Cette salle est vide. Revenez demain vers {n} heures.", "Hamsters refuse to turn the wheel. Case {n} was opened.",
+)
+
+
+def test_pages_of_unseen_phrasing(spark):
+    """Pages that no list knows are found by their repetition under different headers; prose whose sentences mix and copies of one text are not."""
+    import random
+
+    r = random.Random(3)
+    edges = ["Top of page", "Shop | Cart | Help", "Made with love", ""]
+    pages = [f"{r.choice(edges)}\n\n{p.format(n=r.randrange(99))}\n\n{r.choice(edges)}" for p in UNSEEN_PAGES for _ in range(8)]
+    said = [f"The {a} of the {b} {c}." for a in ("parser", "reader", "cache", "loader") for b in ("core", "shell", "proxy", "store") for c in ("checks each field", "drops the buffer", "waits for the lock", "logs twice")]
+    prose = [f"{r.choice(edges)}\n\n" + " ".join(r.sample(said, r.randint(1, 6))) + f"\n\n{r.choice(edges)}" for _ in range(400)]
+    copies = ["The moon rose late over the quiet harbour."] * 9
+    rows = pages + prose + copies
+    got = {x["doc_id"] for x in residue(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert len(got & set(range(len(pages)))) >= 0.9 * len(pages), len(got & set(range(len(pages))))
+    assert not got - set(range(len(pages)))
