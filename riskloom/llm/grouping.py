@@ -16,7 +16,7 @@ table of pairs leaves every record alone in its group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskloom.functions.identifiers import normal_form
@@ -27,37 +27,30 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", cuts: Cuts | None =
     """(node, label) of every node that occurs in a pair with another node; the label is the smallest node of its component."""
     cuts = cuts or Cuts(pairs.sparkSession, "boruvka")
     ends = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cuts.cut(ends.distinct())
-    left = edges.count()
-    maps: list[DataFrame] = []
+    edges, left = cuts.counted(ends.distinct())
+    maps: list[tuple[DataFrame, int]] = []
     while left:
         parents, n = _select(edges, cuts)
         roots = _collapse(parents, n, cuts)
-        maps.append(roots)
-        step = lookup(edges, "x", roots, "node", left).select(F.col("parent").alias("x"), "y")
-        step = lookup(step, "y", roots, "node", left).select("x", F.col("parent").alias("y"))
-        new = step.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        new = cuts.cut(new)
+        maps.append((roots, n))
+        step = lookup(edges, "x", roots, "node", left, n).select(F.col("parent").alias("x"), "y")
+        step = lookup(step, "y", roots, "node", left, n).select("x", F.col("parent").alias("y"))
+        new, left = cuts.counted(step.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         cuts.drop(edges)
-        edges, left = new, new.count()
+        edges = new
     if not maps:
         return edges.select(F.col("x").alias("node"), F.col("x").alias("label")).limit(0)
-    label = maps.pop()
+    label, n = maps.pop()
     while maps:  # node -> root of its round -> label of that root, from the last and smallest round back
-        earlier = maps.pop()
+        earlier, n_earlier = maps.pop()
         further = label.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-        hot = _with_known(earlier, further)
-        label = cuts.cut(hot)
+        # a root without further edges keeps its label: give it a row of its own, so that the lookup can be an inner one
+        alone = earlier.select(F.col("parent").alias("_n")).distinct().join(further, "_n", "left_anti").select("_n", F.col("_n").alias("_p"))
+        known, n = cuts.counted(further.unionByName(alone))
+        label, n = cuts.counted(lookup(earlier, "parent", known, "_n", n_earlier, n).select("node", F.col("_p").alias("parent")))
     least = label.groupBy(F.col("parent").alias("root")).agg(F.min("node").alias("m"))
-    least = cuts.cut(least.select("root", F.least("root", "m").alias("label")))
-    return lookup(label, "parent", least, "root", label.count()).select("node", "label")
-
-
-def _with_known(earlier: DataFrame, further: DataFrame) -> DataFrame:
-    """``earlier`` (node, parent) with parents replaced by what ``further`` (_n, _p) knows of them."""
-    # a root without further edges keeps its label: give it a row of its own, so that the lookup can be an inner one
-    alone = earlier.select(F.col("parent").alias("_n")).distinct().join(further, "_n", "left_anti").select("_n", F.col("_n").alias("_p"))
-    return lookup(earlier, "parent", further.unionByName(alone), "_n", earlier.count()).select("node", F.col("_p").alias("parent"))
+    least, roots = cuts.counted(least.select("root", F.least("root", "m").alias("label")))
+    return lookup(label, "parent", least, "root", n, roots).select("node", "label")
 
 
 def _select(edges: DataFrame, cuts: Cuts) -> tuple[DataFrame, int]:
@@ -73,16 +66,17 @@ def _select(edges: DataFrame, cuts: Cuts) -> tuple[DataFrame, int]:
             )
         ).alias("h")
     ).select("h.node", "h.parent")
-    out = cuts.cut(hooks)
-    return out, out.count()
+    return cuts.counted(hooks)
 
 
 def _collapse(parents: DataFrame, n: int, cuts: Cuts) -> DataFrame:
     """Pointer doubling until every node points to the root of its tree."""
     while True:
         up = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-        new = cuts.cut(lookup(parents, "parent", up, "_n", n).select("node", F.col("_p").alias("parent"), (F.col("_p") != F.col("parent")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
+        seen = Observation()
+        new = lookup(parents, "parent", up, "_n", n, n).select("node", F.col("_p").alias("parent"), (F.col("_p") != F.col("parent")).alias("moved"))
+        new = cuts.cut(new.observe(seen, F.count_if("moved").alias("moved")))
+        moved = seen.get["moved"]
         cuts.drop(parents)
         parents = new.select("node", "parent")
         parents._riskloom_path = new._riskloom_path
