@@ -3,7 +3,8 @@
 A seed is the hash of some of the 13 words in a window; a mask says which positions count and which are ignored. Test
 and training seeds are joined, and around each hit the words are compared one by one, so that overlaps with
 substituted words are found too. A window whose 13 words all agree has the same seed under every mask: for passages
-of 13 equal consecutive words one mask already misses nothing, and the comparison makes the result exact.
+of 13 equal consecutive words any mask misses nothing, and the comparison makes the result exact. Seven positions of
+13 count, so that passages with substitutions still share a seed under one of the masks.
 
 Scale: the training side is never shuffled as a whole. A bitmap of the test seeds, of a size fixed by the number of
 test seeds and at most 32 MB, goes to all executors; only windows whose seed it knows leave the map step. They meet
@@ -21,11 +22,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import bounded
+from riskloom.session import Cuts, bounded, spread
 
 SPAN = 13
 #: Fixed masks over the 13 words of a window; a substitution at one of the ignored places leaves the seed as it is.
-MASKS = ("1101100110101", "1010111001011")
+MASKS = ("1011100001101", "1100011101010", "0111010111000", "0011111000101")
 #: Words compared on either side of a window for overlaps with substitutions.
 AROUND = 8
 SALTS = 16
@@ -144,9 +145,9 @@ def overlaps(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
     Rows with ``best`` below ``least`` are chance hits and are left out, unless 13 words agree or there is such a stretch.
     """
     spark = documents.sparkSession
-    test = windows(items.select(F.col("item_id").alias("id"), "text"), masks, around)
+    test = Cuts(spark, "seeds").cut(windows(items.select(F.col("item_id").alias("id"), "text"), masks, around))
     table, bits = seed_bitmap(test)
-    train = windows(documents.select(F.col("doc_id").alias("id"), "text"), masks, around, spark.sparkContext.broadcast(table), bits)
+    train = windows(spread(documents.select(F.col("doc_id").alias("id"), "text")), masks, around, spark.sparkContext.broadcast(table), bits)
     train = train.select(F.col("id").alias("doc_id"), "seed", "at", F.col("words").alias("_d"))
     test = test.select(F.col("id").alias("item_id"), F.col("seed").alias("_seed"), F.col("words").alias("_i")).distinct()
     few = bounded(test, FEW)
@@ -161,13 +162,13 @@ def overlaps(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
         # which words agree, one bit each
         bits = F.aggregate(F.zip_with("_d", "_i", lambda a, b: ((a == b) & (a != 0)).cast("bigint")), F.lit(0).cast("bigint"), lambda n, x: n * 2 + x)
         hits = hits.select("doc_id", "item_id", "at", exact.alias("exact"), bits.alias("bits"))
-        hits = hits.select("doc_id", "item_id", "exact", F.bit_count("bits").alias("same"), longest_run(SHARE, SPAN + 2 * around)("bits").alias("run"))
+        hits = hits.select("doc_id", "item_id", "at", "exact", F.bit_count("bits").alias("same"), longest_run(SHARE, SPAN + 2 * around)("bits").alias("run"))
     else:
-        hits = hits.select("doc_id", "item_id", exact.alias("exact"), F.lit(SPAN).alias("same"), F.lit(SPAN).alias("run")).filter("exact")
-    out = hits.groupBy("doc_id", "item_id").agg(F.count_if("exact").alias("exact_windows"), F.max("same").alias("best"), F.max("run").alias("run"))
+        hits = hits.select("doc_id", "item_id", "at", exact.alias("exact"), F.lit(SPAN).alias("same"), F.lit(SPAN).alias("run")).filter("exact")
+    out = hits.groupBy("doc_id", "item_id").agg(F.count_distinct(F.when(F.col("exact"), F.col("at"))).alias("exact_windows"), F.max("same").alias("best"), F.max("run").alias("run"))
     return out.filter((F.col("best") >= least) | (F.col("exact_windows") > 0) | (F.col("run") > 0))
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) that share at least 13 consecutive words."""
-    return overlaps(documents, items, MASKS[:1], 0).select("doc_id", "item_id")
+    """(doc_id, item_id) that share at least 13 consecutive words: the tolerant overlaps with a window of equal words."""
+    return overlaps(documents, items, MASKS[:2]).filter("exact_windows > 0").select("doc_id", "item_id")

@@ -106,3 +106,24 @@ def test_longest_run(spark):
 
     got = spark.createDataFrame(rows, "bits bigint").select("bits", leakage.longest_run(0.8, 29)("bits").alias("run")).collect()
     assert [r["run"] for r in got] == [brute(r["bits"]) for r in got] and len({r["run"] for r in got}) > 5
+
+
+def test_recall_of_planted_substitutions(spark):
+    """Passages of 14 to 30 words, up to a fifth of them substituted, in texts of their own: at least nine of ten are found."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(5000)}"
+    items = [(i, [word() for _ in range(60)]) for i in range(40)]
+    docs, planted = [], set()
+    for d in range(400):
+        i, text = items[r.randrange(40)]
+        n = r.randrange(14, 31)
+        k = r.randrange(60 - n + 1)
+        part = text[k : k + n]
+        for at in r.sample(range(1, n - 1), r.randrange(1, n // 5 + 1)):
+            part[at] = f"other{r.randrange(9)}"
+        docs.append((d, " ".join([word() for _ in range(30)] + part + [word() for _ in range(30)])))
+        planted.add((d, i))
+    d, i = frames(spark, docs, [(n, " ".join(t)) for n, t in items])
+    got = {(x["doc_id"], x["item_id"]) for x in leakage.overlaps(d, i, least=22).collect()}
+    assert len(got & planted) >= 0.9 * len(planted), len(got & planted) / len(planted)
+    assert len(got - planted) <= 0.01 * len(planted)
