@@ -1,7 +1,8 @@
 """Which description texts say something, as JVM-side column expressions.
 
 A text says nothing if, as a whole, it is blank, a stand-in word, an unfilled slot, an announcement that the text
-will come or is withheld, or a pointer to another place. A text that only begins or ends with such words is usable.
+will come or is withheld, or a pointer to another place. A text that only begins or ends with such words is usable,
+and so is one of more than ``STAND_IN_CHARS`` characters: the patterns take too long on texts of any length.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A stand-in is no longer than this, marks at its ends aside.
+STAND_IN_CHARS = 160
+
 _INVISIBLE = r"[\p{Cf}\p{Cc}\s\p{Z}]+"
 #: What a description may be called.
 _NOUN = (
@@ -58,7 +62,7 @@ def says_something(text: Column) -> Column:
     """True if ``text`` is a usable description; false for null."""
     flat = F.trim(F.regexp_replace(F.lower(text), _INVISIBLE, " "))
     bare = F.regexp_replace(flat, _ENDS, "")
-    few = F.length(bare) <= 160  # a stand-in is short; longer texts skip the patterns
+    few = F.length(bare) <= STAND_IN_CHARS
     return F.coalesce((bare != "") & ~(few & (bare.rlike(_WHOLE) | flat.rlike(_SLOT))), F.lit(False))
 
 
@@ -67,4 +71,4 @@ def sql_says_something(x: str) -> str:
     q = lambda p: "'" + p.replace("'", "''") + "'"
     flat = f"trim(regexp_replace(lower({x}), {q(_INVISIBLE)}, ' ', 'g'), ' ')"
     bare = f"regexp_replace({flat}, {q(_ENDS)}, '', 'g')"
-    return f"coalesce({bare} <> '' and not (length({bare}) <= 160 and (regexp_matches({bare}, {q(_WHOLE)}) or regexp_matches({flat}, {q(_SLOT)}))), false)"
+    return f"coalesce({bare} <> '' and not (length({bare}) <= {STAND_IN_CHARS} and (regexp_matches({bare}, {q(_WHOLE)}) or regexp_matches({flat}, {q(_SLOT)}))), false)"
