@@ -26,3 +26,9 @@ def normal_form(text: Column) -> Column:
     plain = text.rlike(r"^(CVE|GHSA|PYSEC|GO|RUSTSEC)-[0-9A-Za-z-]+\z")
     clean = F.upper(F.when(plain, text).otherwise(F.regexp_replace(trimmed(text), DASHES, "-")))
     return F.when(clean.rlike(SCHEMES) & ~clean.rlike(STAND_INS), clean)
+
+
+# The same in SQL for a column ``x``, with patterns of its own.
+SQL_NORM = r"upper(regexp_replace(regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\p{Pd}\x{2212}]', '-', 'g'))"
+_SCHEMES = "^(CVE-[0-9]{4}-[0-9]{4,}|GHSA(-[0-9A-Z]{4}){3}|(PYSEC|GO|RUSTSEC)-[0-9]{4}-[0-9]+)$"
+SQL_IS_ID = f"regexp_matches({SQL_NORM}, '{_SCHEMES}') and not regexp_matches({SQL_NORM}, '^[A-Z]+-0000-|-[0-9]{{4}}-0+$')"

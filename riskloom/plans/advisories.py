@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskloom.functions import versions as V
-from riskloom.functions.identifiers import normal_form
+from riskloom.functions.identifiers import SQL_IS_ID, SQL_NORM, normal_form
 from riskloom.functions.labels import severity_of, severity_of_score, severity_rank
 from riskloom.operators import advisories as A
 from riskloom.sources.payloads import with_record
@@ -126,9 +126,11 @@ SQL = {
     "affected_counts": f"""with deps as (select distinct id as dep_id, lower(ecosystem) as ecosystem, package_name as name, version, {V.sql_plain_key('version')} as k from package_queries where version is not null),
  ranges as (select ecosystem, name, {V.sql_plain_key("coalesce(introduced, '0')")} as s, {V.sql_plain_key('fixed')} as e from ({_AFFECTED}))
  select dep_id, count(s) as advisories from deps left join ranges on deps.ecosystem = ranges.ecosystem and deps.name = ranges.name and s <= k and (e is null or k < e) group by dep_id, deps.ecosystem, deps.name, version""",
-    "cves_fixed": f"""with t as (select package_name, {V.sql_plain_key('version')} as k, regexp_extract_all(cve_ids, 'CVE-[0-9]+-[0-9]+') as ids from package_queries where version is not null and cve_ids like '["%' and cve_ids like '%]'),
+    "cves_fixed": rf"""with t as (select package_name, {V.sql_plain_key('version')} as k, trim(cve_ids) as w from package_queries where version is not null),
  ends as (select package_name, min(k) as lo, max(k) as hi from t group by package_name having min(k) < max(k)),
- pairs as (select distinct package_name, k = lo as old, unnest(ids) as cve_id from t join ends using (package_name) where k = lo or k = hi)
+ j as (select package_name, k = lo as old, w, regexp_matches(w, '^[\[{{"]') as jsonish, case when regexp_matches(w, '^[\[{{"]') and json_valid(w) then case when json_type(w) = 'VARCHAR' then case when json_valid(json_extract_string(w, '$')) then json(json_extract_string(w, '$')) end else json(w) end end as v from t join ends using (package_name) where k = lo or k = hi),
+ ids as (select package_name, old, unnest(case when w is null then [] when not jsonish then string_split_regex(w, '[,;|]') when v is null then [] else list_transform(json_extract(v, '$[*]'), lambda e: coalesce(e ->> '$.id', e ->> '$')) end) as x from j),
+ pairs as (select distinct package_name, old, {SQL_NORM} as cve_id from ids where x is not null and {SQL_IS_ID})
  select package_name, count(*) as fixed from pairs o where old and not exists (select 1 from pairs n where not n.old and n.package_name = o.package_name and n.cve_id = o.cve_id) group by package_name""",
     "osv_range_ends": f"select ecosystem, introduced is not null as starts, fixed is not null as ends, coalesce({V.sql_plain_key('introduced')} >= {V.sql_plain_key('fixed')}, false) as empty, count(*) as n from ({_AFFECTED}) group by all",
 }

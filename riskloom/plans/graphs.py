@@ -107,7 +107,7 @@ SQL = {
     "symbol_join": "select status, coalesce(list_has_any(list_transform(call_trace, lambda x: string_split(x, ':')[-1]), vulnerable_symbols), false) as symbol_called, count(*) as n from reachability group by all",
     "sink_suffix_match": f"select suffix, count(*) as packages, min(package_name) as smallest from (select package_name, unnest(list_transform(generate_series(1, len(string_split({_NAME}, '.'))), lambda i: array_to_string(string_split({_NAME}, '.')[-i:], '.'))) as suffix from (select distinct package_name from reachability where package_name is not null)) where contains(suffix, '.') group by suffix having count(*) > 1",
     "reachable_status": "select package_name, coalesce(bool_or(len(call_trace) > 1), false) as reachable, count(*) as findings from reachability group by package_name",
-    "enclosing_function": "with per as (select l_orderkey as f, l_linenumber as l, min(l_partkey) as p from lineitem group by all) select line, count(*) as calls, sum(name)::bigint as name_sum from (select c.f, c.p, c.l as line, arg_min(d.p, d.l) as name from per c join per d on c.f = d.f and c.l between d.l and d.l + d.p % 4 where c.l % 2 = 0 group by c.f, c.p, c.l) group by line",
+    "enclosing_function": "with per as (select l_orderkey as f, l_linenumber as l, min(l_partkey) as p from lineitem group by all) select line, count(*) as calls, sum(name)::bigint as name_sum from (select c.f, c.p, c.l as line, arg_min(d.p, d.l) as name from per c join per d on c.f = d.f and c.l between d.l and d.l + d.p % 4 group by c.f, c.p, c.l) group by line",
     "module_map": r"select stem, min(path) as path, count(*) as files from (select distinct string_split(n, ':')[1] as path, regexp_extract(string_split(n, ':')[1], '([^/]+?)(?:\.[^./]+)?$', 1) as stem from (select unnest(call_trace) as n from reachability) where n is not null) group by stem",
     "export_diff": "with r as (select lower(trim(source)) as s, unnest(affected_packages) as p from cve), a as (select p.name as name, count(*) as n from r where s = 'nvd' and p.name is not null group by all), b as (select p.name as name, count(*) as n from r where s = 'github' and p.name is not null group by all) select coalesce(a.name, b.name) as name, case when b.name is null then 'removed' when a.name is null then 'added' else 'changed' end as change from a full join b on a.name = b.name where a.name is null or b.name is null or a.n is distinct from b.n",
     "peer_diff": "select case when o = n then 'same' when o > n then 'lower' else 'higher' end as change, count(*) as users from (select (arg_min(props, event_id)::json ->> '$.k')::bigint as o, (arg_max(props, event_id)::json ->> '$.k')::bigint as n from events group by user_id) group by 1",

@@ -93,7 +93,7 @@ _IND = ", ".join(f"('{f}', '{e}')" for e, names in manifests.INDICATORS.items()
 SQL = {
     "requirements_scan": f"select name, count(distinct version) as versions, count(distinct doc_id) as documents, max(version) as greatest from (select doc_id, lower(regexp_extract(line, '{_PIN}', 1)) as name, regexp_extract(line, '{_PIN}', 2) as version from {_LINES} where regexp_matches(line, '{_PIN}')) group by name",
     "lock_entries": f"select name, count(*) as documents, max(version) as greatest from (select doc_id, name, arg_max(version, pos) as version from (select doc_id, pos, regexp_extract(trim(line, ' '), '{_JSON_PIN}', 1) as name, regexp_extract(trim(line, ' '), '{_JSON_PIN}', 2) as version from {_LINES} where regexp_matches(trim(line, ' '), '{_JSON_PIN}')) group by doc_id, name) group by name",
-    "dep_scan_union": "select lower(ecosystem) as ecosystem, list_position(['npm', 'pypi', 'go', 'rubygems', 'maven', 'cargo'], lower(ecosystem)) - 1 as source_seq, count(*) as rows, count(distinct package_name) as packages, count(*) filter (version is null) as unversioned from package_queries where lower(ecosystem) in ('npm', 'pypi', 'go', 'rubygems', 'maven', 'cargo') group by all",
+    "dep_scan_union": "select lower(ecosystem) as ecosystem, list_position(['npm', 'pypi', 'go', 'rubygems', 'maven', 'cargo', 'composer'], lower(ecosystem)) - 1 as source_seq, count(*) as rows, count(distinct package_name) as packages, count(*) filter (version is null) as unversioned from package_queries where lower(ecosystem) in ('npm', 'pypi', 'go', 'rubygems', 'maven', 'cargo', 'composer') group by all",
     "ecosystem_detect": f"select e as ecosystem, count(distinct merge_request_id) as repositories from (select distinct merge_request_id, string_split(n, ':')[1] as path from (select merge_request_id, unnest(call_trace) as n from reachability where merge_request_id is not null) where n is not null) join (values {_IND}) as i(f, e) on path = f group by e",
     "code_imports": r"select module, count(distinct doc_id) as documents, count(*) as lines from (select doc_id, string_split(regexp_extract(line, '^(?:from ([\w.]+) import \w|import ([\w.]+)$)', 1) || regexp_extract(line, '^(?:from ([\w.]+) import \w|import ([\w.]+)$)', 2), '.')[1] as module from " + _LINES + r" where regexp_matches(line, '^(?:from ([\w.]+) import \w|import ([\w.]+)$)')) group by module",
     "json_manifest": "select k, count(*) as n, sum(v)::bigint as total from (select unnest(map_keys(m)) as k, unnest(map_values(m)) as v from (select cast(props::json as map(varchar, bigint)) as m from events)) group by k",

@@ -61,14 +61,14 @@ def events_ttl(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (cache_upsert, cache_valid, cache_stats, package_cache, cache_probe, events_ttl)}
 
-_CACHE = f"select cve_id, source, cached_at, expires_at from (select distinct * from cve_cache where cached_at <= {AS_OF}) qualify row_number() over (partition by cve_id order by cached_at desc, expires_at desc, source desc) = 1"
+_CACHE = f"select cve_id, source, cached_at, expires_at from (select distinct * from cve_cache) qualify row_number() over (partition by cve_id order by cached_at desc, expires_at desc, source desc) = 1"
 _Q = "select distinct id, lower(ecosystem) as ecosystem, package_name, version, cve_ids, case when cached_at >= 100000000000 then cached_at // 1000 else cached_at end as cached_at, case when expires_at >= 100000000000 then expires_at // 1000 else expires_at end as expires_at from package_queries"
 _AT = AS_OF - 86_400 * 30
 SQL = {
     "cache_upsert": _CACHE,
     "cache_valid": f"select * from ({_CACHE}) where expires_at > {_AT}",
     "cache_stats": f"select source, count(*) as total, count(*) filter (expires_at > {_AT}) as valid, count(*) filter (expires_at <= {_AT}) as expired from ({_CACHE}) group by source",
-    "package_cache": f"select ecosystem, package_name, version, id, cached_at from ({_Q}) where cached_at <= {AS_OF} qualify row_number() over (partition by ecosystem, package_name, version order by cached_at desc, id desc) = 1",
+    "package_cache": f"select ecosystem, package_name, version, id, cached_at from ({_Q}) qualify row_number() over (partition by ecosystem, package_name, version order by cached_at desc, id desc) = 1",
     "cache_probe": f"with q as ({_Q}), a as (select distinct ecosystem, package_name, version from q where cached_at > {AS_OF}), k as (select distinct ecosystem as e, package_name as p, version as v from q where cached_at <= {AS_OF}) select ecosystem, count(*) filter (e is not null) as hits, count(*) filter (e is null) as misses from a left join k on ecosystem = e and package_name = p and version is not distinct from v group by ecosystem",
     "events_ttl": "select day, event_type, count(*) as kept, min(event_id) as first_id from (select user_id, event_type, ts::date as day, min(event_id) as event_id from events group by all) group by day, event_type",
 }

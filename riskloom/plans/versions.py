@@ -75,7 +75,7 @@ def known_changes(spark: SparkSession, d: str) -> DataFrame:
 
     Packages are compared in lower case with ``_`` for ``-``. The parts go round the packages of the updates in the order of their names.
     """
-    form = r"(\S+) from (\S+) to (\S+)"
+    form = _FORM
     title = read(spark, d, "github_pr_dependabot", "rec_id", "title").filter(F.col("title").rlike(form))
     package = F.translate(F.lower(F.regexp_extract("title", form, 1)), "-", "_")
     updates = title.groupBy(package.alias("package"), F.regexp_extract("title", form, 2).alias("a"), F.regexp_extract("title", form, 3).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("first"))
@@ -99,10 +99,14 @@ def _sql_padded(x: str) -> str:
 QUERIES = {f"version_{n}": version_query(n) for n in DIALECTS} | {
     "version_compare": version_compare, "range_predicate": range_predicate, "kb_join": kb_join, "known_changes": known_changes,
 }
+_FORM = r"(\S+) from (\S+) to (\S+)"
 _TITLE = r"select rec_id, regexp_extract(title, 'from (\S+) to (\S+)', 1) as a, regexp_extract(title, 'from (\S+) to (\S+)', 2) as b from github_pr_dependabot"
 SQL = {f"version_{n}": version_sql(n) for n in DIALECTS} | {
     "version_compare": "select count(*) as pairs, " + ", ".join(f"count(*) filter ({DIALECTS[n][1]('a')} < {DIALECTS[n][1]('b')}) as up_{n}" for n in ("range", "plain", "known", "dotted")) + f" from ({_TITLE}) where a <> ''",
     "range_predicate": f"select ranges, sum(case when {V.sql_in_range('version', 'ranges')} then n else 0 end)::bigint as held, sum(n)::bigint as asked from (select version, count(*) as n from package_queries where version is not null group by version), (select unnest({list(RANGES)}) as ranges) group by ranges",
     "kb_join": f"select repo, count(*) as affected, count(distinct package) as packages from (select l_orderkey as repo, l_partkey as package, {_LINE_VERSION} as version from lineitem) join (select p_partkey as package, {_PART_RANGES} as ranges from part) using (package) where {V.sql_in_range('version', 'ranges')} group by repo",
-    "known_changes": f"select changed_in, count(*) as updates, min(rec_id) as first_rec_id from ({_TITLE}), (select unnest(['1.0.0', '2.0', '3.10.1', '5', '7.15.0']) as changed_in) where a <> '' and {_sql_padded('a')} < {_sql_padded('changed_in')} and {_sql_padded('changed_in')} <= {_sql_padded('b')} group by changed_in",
+    "known_changes": rf"""with u as (select rec_id, translate(lower(regexp_extract(title, '{_FORM}', 1)), '-', '_') as package, regexp_extract(title, '{_FORM}', 2) as a, regexp_extract(title, '{_FORM}', 3) as b from github_pr_dependabot where regexp_matches(title, '{_FORM}')),
+ names as (select package, row_number() over (order by package) - 1 as place from (select distinct package from u)),
+ changes as (select p_partkey, package, changed_in from (select p_partkey, (p_size % 8)::varchar || '.' || p_size::varchar || '.0' as changed_in, p_partkey % (select count(*) from names) as place from part) join names using (place))
+ select p_partkey, package, changed_in, count(*) as updates, min(rec_id) as first_rec_id from u join changes using (package) where {_sql_padded('a')} < {_sql_padded('changed_in')} and {_sql_padded('changed_in')} <= {_sql_padded('b')} group by all""",
 }
