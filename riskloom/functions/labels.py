@@ -41,8 +41,16 @@ def hcl_string(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
+#: How package names show their ecosystem, tried in this order.
+NAME_RULES = (
+    ("npm", r"(?i)^@[\w.-]+/[\w.-]+$"), ("maven", r"^[\w.-]+:[\w.-]+$"), ("go", r"(?i)^[a-z0-9-]+\.[a-z0-9.-]+/"), ("pypi", r"(?i)^(?:python|py)-"), ("rubygems", r"(?i)^ruby-|-rb$"),
+    ("cargo", r"(?i)^(?:tokio|serde|actix|rocket|diesel)"),
+)
+
+
 def ecosystem_of_package(name: Column) -> Column:
     """The ecosystem a package name looks like; npm if nothing tells."""
-    return (
-        F.when(name.startswith("@"), "npm").when(name.rlike("^[a-z0-9-]+\\.[a-z0-9.-]+/"), "go").when(name.contains(":"), "maven").when(name.rlike("^[a-z0-9_.-]+/[a-z0-9_.-]+$"), "composer").otherwise("npm")
-    )
+    out = F.lit("npm")
+    for ecosystem, pattern in reversed(NAME_RULES):
+        out = F.when(name.rlike(pattern), ecosystem).otherwise(out)
+    return out

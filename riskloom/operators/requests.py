@@ -10,14 +10,26 @@ from riskloom.functions.versions import is_major_upgrade
 
 _PKG = r"[@\w][\w@./:-]*"
 _VER = r"v?[0-9][\w.+-]*"
-#: Titles of one update, tried in this order; group 1 is the package, then versions where the title has them.
-UPDATE_TO = rf"(?i)^(?:chore|fix|build)?(?:\(deps\))?:?\s*update (?:dependency |module )?({_PKG}) to ({_VER})"
-BUMP_FROM_TO = rf"(?i)^(?:chore|fix|build)?(?:\(deps(?:-dev)?\))?:?\s*bump ({_PKG}) from ({_VER}) to ({_VER})"
+_AREA = r"(?:(?:fix|chore|build)\(deps(?:-dev)?\): ?)?"
+#: Shapes of titles, tried in this order. Groups: package, then the versions that the title has.
+SHAPES = {
+    "moved": rf"(?i)^(?:\[security\] )?{_AREA}(?:bump|update) (?:dependency |module )?(\S.*?) from (v?\d\S*) to (v?\d\S*)(?: in \S+)?(?: \[security\])?\s*$",
+    "to": rf"(?i)^{_AREA}update (?:dependency |module )?(\S.*?) to (v?\d\S*)(?: \((?:major|minor)\))?(?: \[security\])?\s*$",
+    "digest": rf"(?i)^{_AREA}update (\S.*?) digest to (\S.*?)\s*$",
+    "pin": rf"(?i)^{_AREA}pin (?:dependency )?(\S.*?) to (v?\d\S*)\s*$",
+    "group": rf"(?i)^{_AREA}update (\S.*?) (?:packages?|monorepo)\s*$",
+    "lockfile": rf"(?i)^{_AREA}(?:lock file maintenance|update lockfile)\s*$",
+}
+#: The shapes that name one package and its new version.
+ONE = ("moved", "to", "digest", "pin")
 BODY_FROM_TO = rf"(?i)bumps \[?({_PKG})\]?(?:\([^)]*\))? from ({_VER}) to ({_VER}?)\.?(?:\s|$)"
 TABLE_ROW = r"\|\s*([^|\n]+?)\s*\|\s*([^|\n]*?)\s*\|\s*([^|\n]*?)\s*\|\s*`?([^|`\n]+?)`? -> `?([^|`\n]+?)`?\s*\|"
 
-#: Branch prefixes of the bots.
-BRANCHES = {"renovate/": "renovate", "dependabot/": "dependabot"}
+#: The ecosystem that the second part of a branch name stands for.
+BRANCH_ECOSYSTEMS = {
+    "npm": "npm", "npm_and_yarn": "npm", "yarn": "npm", "pip": "pypi", "pypi": "pypi", "poetry": "pypi", "pipenv": "pypi", "go": "go", "gomod": "go", "go_modules": "go",
+    "bundler": "rubygems", "rubygems": "rubygems", "cargo": "cargo", "composer": "composer", "maven": "maven", "gradle": "maven",
+}
 
 
 def bot_type(author: Column, branch: Column) -> Column:
@@ -52,33 +64,39 @@ def group_name(branch: Column) -> Column:
 def branch_ecosystem(branch: Column) -> Column:
     """The ecosystem in the second part of a branch name; npm if it names none."""
     part = F.get(F.split(branch, "/"), F.lit(1))
-    known = F.create_map(*(F.lit(x) for kv in {"npm": "npm", "npm_and_yarn": "npm", "pip": "pypi", "pypi": "pypi", "go": "go", "go_modules": "go", "maven": "maven", "gradle": "maven", "bundler": "rubygems", "rubygems": "rubygems", "cargo": "cargo", "composer": "composer"}.items() for x in kv))
+    known = F.create_map(*(F.lit(x) for kv in BRANCH_ECOSYSTEMS.items() for x in kv))
     return F.coalesce(F.try_element_at(known, part), F.lit("npm"))
 
 
+def title_shape(title: Column) -> Column:
+    """The first of ``SHAPES`` that a title has, null if none."""
+    shape = F.lit(None).cast("string")
+    for name, pattern in reversed(SHAPES.items()):
+        shape = F.when(title.rlike(pattern), name).otherwise(shape)
+    return shape
+
+
 def title_updates(requests: DataFrame, request: str, title: str, branch: str) -> DataFrame:
-    """request, name, from_version, to_version, is_major, ecosystem of each request whose title tells an update.
+    """request, name, from_version, to_version, is_major, ecosystem of each request whose title tells the update of one package.
 
     The major flag is what the title alone shows: without a from-version it is false.
     """
     t = F.col(title)
-    bump, to = t.rlike(BUMP_FROM_TO), t.rlike(UPDATE_TO)
-    name = F.when(bump, F.regexp_extract(t, BUMP_FROM_TO, 1)).when(to, F.regexp_extract(t, UPDATE_TO, 1))
-    old = F.when(bump, clean_version(F.regexp_extract(t, BUMP_FROM_TO, 2))).when(to, F.lit(""))
-    new = F.when(bump, clean_version(F.regexp_extract(t, BUMP_FROM_TO, 3))).when(to, clean_version(F.regexp_extract(t, UPDATE_TO, 2)))
-    out = requests.select(F.col(request).alias("request"), name.alias("name"), old.alias("from_version"), new.alias("to_version"), F.col(branch).alias("_b")).filter("name is not null")
+    part = lambda i: F.coalesce(*(F.when(F.col("_s") == s, F.regexp_extract(t, SHAPES[s], i)) for s in ONE))
+    new = F.when(F.col("_s") == "moved", F.regexp_extract(t, SHAPES["moved"], 3)).otherwise(part(2))
+    old = F.when(F.col("_s") == "moved", clean_version(F.regexp_extract(t, SHAPES["moved"], 2))).otherwise(F.lit(""))
+    rows = requests.withColumn("_s", title_shape(t)).filter(F.col("_s").isin(*ONE))
+    out = rows.select(F.col(request).alias("request"), part(1).alias("name"), old.alias("from_version"), clean_version(new).alias("to_version"), F.col(branch).alias("_b"))
     eco = F.when(F.col("_b").startswith("dependabot/"), branch_ecosystem(F.col("_b"))).otherwise(ecosystem_of_package(F.col("name")))
     return out.withColumn("is_major", F.when(F.col("from_version") == "", False).otherwise(is_major_upgrade(F.col("from_version"), F.col("to_version")))).withColumn("ecosystem", eco).drop("_b")
 
 
 def table_updates(requests: DataFrame, request: str, body: str) -> DataFrame:
     """request, pos, name, from_version, to_version of each row of an update table in the description."""
-    groups = [F.regexp_extract_all(F.col(body), F.lit(TABLE_ROW), F.lit(i)) for i in (1, 4, 5)]
-    zipped = F.posexplode(F.arrays_zip(*(g.alias(a) for g, a in zip(groups, ("n", "a", "b"), strict=True))))
-    rows = requests.filter(F.col(body).isNotNull()).select(F.col(request).alias("request"), zipped.alias("pos", "u"))
-    return rows.select("request", "pos", F.col("u.0").alias("name") if "0" in rows.schema["u"].dataType.names else F.col("u.n").alias("name"), *(
-        clean_version(F.col(f"u.{rows.schema['u'].dataType.names[i]}")).alias(x) for i, x in ((1, "from_version"), (2, "to_version"))
-    ))
+    n, a, b = (F.regexp_extract_all(F.col(body), F.lit(TABLE_ROW), F.lit(i)) for i in (1, 4, 5))
+    found = F.posexplode(F.transform(n, lambda x, i: F.struct(x.alias("name"), F.get(a, i).alias("a"), F.get(b, i).alias("b"))))
+    rows = requests.filter(F.col(body).isNotNull()).select(F.col(request).alias("request"), found.alias("pos", "u"))
+    return rows.select("request", "pos", "u.name", clean_version(F.col("u.a")).alias("from_version"), clean_version(F.col("u.b")).alias("to_version"))
 
 
 def body_updates(requests: DataFrame, request: str, body: str) -> DataFrame:
