@@ -14,27 +14,23 @@ def path_edges(traces: DataFrame, trace: str) -> DataFrame:
     return traces.filter(F.size(trace) > 1).select(F.explode(pairs).alias("e")).select("e.caller", "e.callee").filter("caller is not null and callee is not null and caller <> callee").distinct()
 
 
-def distances(edges: DataFrame, starts: DataFrame, reverse: bool = False, limit: int = 10_000) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> DataFrame:
     """(node, depth, via): fewest steps from any start, and the smallest neighbour one step nearer.
 
     Breadth-first by levels: the frontier joins the edges, known nodes are left out, of several ways the smallest
-    neighbour is kept. Each level is written to the shared folder, so lineage stays short. Cycles end by themselves.
+    neighbour is kept. Each level is a table of its own in the shared folder, so lineage stays short and no level is
+    written twice. Cycles end by themselves, and there are as many levels as the graph has.
     """
     cuts = Cuts(edges.sparkSession, "levels")
     a, b = ("callee", "caller") if reverse else ("caller", "callee")
     steps = cuts.cut(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct())
-    seen = cuts.cut(starts.select(F.col(starts.columns[0]).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).filter("node is not null").distinct())
-    frontier, depth = seen, 0
-    while depth < limit:
+    level, n = cuts.counted(starts.select(F.col(starts.columns[0]).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).filter("node is not null").distinct())
+    seen, depth = level, 0
+    while n:
         depth += 1
-        found = frontier.join(steps, F.col("node") == F.col("_a")).groupBy(F.col("_b").alias("node")).agg(F.min("_a").alias("via"))
-        new = cuts.cut(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "via"))
-        if not new.limit(1).count():
-            break
-        old = seen
-        seen = cuts.cut(seen.unionByName(new))
-        cuts.drop(old)
-        frontier = new
+        found = level.join(steps, F.col("node") == F.col("_a")).groupBy(F.col("_b").alias("node")).agg(F.min("_a").alias("via"))
+        level, n = cuts.counted(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "via"))
+        seen = seen.unionByName(level)
     return seen
 
 

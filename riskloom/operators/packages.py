@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from riskloom.functions.versions import major
 
@@ -67,10 +68,27 @@ def metadata_changes(pairs: DataFrame) -> DataFrame:
     return pairs.select("package", F.explode(found).alias("c")).select("package", "c.*")
 
 
-def export_paths(exports: Column) -> Column:
-    """Paths of all text leaves of a nested ``exports`` object given as JSON text, to three levels of conditions."""
-    v = F.try_parse_json(exports)
-    level = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
-    leaves = lambda p, x: F.when(F.try_variant_get(x, "$", "map<string,variant>").isNull(), F.array(p))
-    deep = F.transform(F.map_entries(level(v)), lambda e: F.coalesce(leaves(e["key"], e["value"]), F.flatten(F.transform(F.map_entries(level(e["value"])), lambda g: F.coalesce(leaves(F.concat(e["key"], F.lit("/"), g["key"]), g["value"]), F.transform(F.map_keys(level(g["value"])), lambda k: F.concat(e["key"], F.lit("/"), g["key"], F.lit("/"), k)))))))
-    return F.flatten(deep)
+@F.arrow_udf(ArrayType(StringType()))
+def export_paths(exports):
+    """Paths of all text leaves of a nested ``exports`` object given as JSON text, through conditions of any depth; null if it is no object."""
+    import json
+
+    import pyarrow as pa
+
+    def paths(text):
+        try:
+            root = json.loads(text) if text else None
+        except (ValueError, RecursionError):
+            return None
+        if not isinstance(root, dict):
+            return None
+        out, stack = [], [((), root)]
+        while stack:
+            path, x = stack.pop()
+            if isinstance(x, dict):
+                stack += [((*path, k), y) for k, y in reversed(x.items())]
+            else:
+                out.append("/".join(path))
+        return out
+
+    return pa.array([paths(x) for x in exports.to_pylist()], pa.list_(pa.string()))
