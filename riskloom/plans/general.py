@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.orphans import OrphanState, advance, pending, snapshot
+from riskloom.operators.orphans import INCREMENTS, OrphanState, pending, replay, snapshot
 from riskloom.operators.shred import entities, shred
-from riskloom.operators.timestamps import USUAL_LAG_US, estimate_zones, with_instants
+from riskloom.operators.timestamps import USUAL_LAG_US, candidate_zones, estimate_zones, with_instants
 from riskloom.functions import timestamps as T
+from riskloom.functions.identifiers import SQL_IS_ID, SQL_NORM
 from riskloom.sources.payloads import with_record
 from riskloom.sources.references import cache_entries, finding_references, query_references
 from riskloom.session import bounded
@@ -58,26 +59,31 @@ def p1_zones(spark: SparkSession, d: str) -> DataFrame:
     sure = rows.filter("_r.offset_min is not null").select((F.col("ingest_us") - F.col("_r.local_us") + F.col("_r.offset_min") * 60_000_000).alias("lag"))
     usual = sure.filter("lag >= 0").agg(F.percentile_approx("lag", 0.5).alias("m")).first()["m"]
     local = rows.filter("_r.local_us is not null and _r.offset_min is null and _r.region is null")
-    names = sorted({r[0] for r in feeds.select("tz_name").distinct().limit(500).collect() if r[0]} | {"UTC"})
-    found = estimate_zones(local.select(F.col("origin").alias("_ts_origin"), F.col("_r.local_us").alias("local_us"), "ingest_us"), names, 2 * usual if usual else USUAL_LAG_US)
+    found = estimate_zones(local.select(F.col("origin").alias("_ts_origin"), F.col("_r.local_us").alias("local_us"), "ingest_us"), candidate_zones(feeds), 2 * usual if usual else USUAL_LAG_US)
     return found.join(bounded(declared), found["_ts_origin"] == F.col("_o"), "left").select(
         F.col("_ts_origin").alias("origin"), F.col("_ts_zone").alias("estimated"), F.col("tz_name").alias("declared"), "violations", "n"
     )
 
 
-def orphan_state(spark: SparkSession, d: str) -> OrphanState:
+def orphan_state(spark: SparkSession, d: str, snapshots: bool = False) -> tuple[OrphanState, DataFrame | None]:
     refs = query_references(read(spark, d, "package_queries", "id", "cve_ids", "cached_at")).unionByName(
         finding_references(read(spark, d, "reachability", "rec_id", "cve_id", "analyzed_at"), F.floor(ntz_micros("analyzed_at") / 1_000_000).cast("bigint"))
     )
-    return advance(None, refs, cache_entries(read(spark, d, "cve_cache", "cve_id", "cached_at", "deleted_at")))
+    return replay(refs, cache_entries(read(spark, d, "cve_cache", "cve_id", "cached_at", "deleted_at")), snapshots=snapshots)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return pending(orphan_state(spark, d))
+    """The orphans after the last of several increments of references, stored and deleted entries."""
+    return pending(orphan_state(spark, d)[0])
 
 
 def p3_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot(orphan_state(spark, d))
+    return snapshot(orphan_state(spark, d)[0])
+
+
+def p3_history(spark: SparkSession, d: str) -> DataFrame:
+    """Pending orphans after each increment, as they stood then."""
+    return orphan_state(spark, d, True)[1]
 
 
 def nvd_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -107,17 +113,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out.filter("val is not null and val <> ''")
 
 
-QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p3_found": p3_found, "p3_snapshot": p3_snapshot, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p3_found": p3_found, "p3_snapshot": p3_snapshot, "p3_history": p3_history, "p5_found": p5_found}
 
-_NORM = r"upper(regexp_replace(regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\p{Pd}\x{2212}]', '-', 'g'))"
-_SCHEMES = "^(CVE-[0-9]{4}-[0-9]{4,}|GHSA(-[0-9A-Z]{4}){3}|(PYSEC|GO|RUSTSEC)-[0-9]{4}-[0-9]+)$"
-_IS_ID = f"regexp_matches({_NORM}, '{_SCHEMES}') and not regexp_matches({_NORM}, '^[A-Z]+-0000-|-[0-9]{{4}}-0+$')"
 _P3 = rf"""with q as (select id, case when cached_at >= 100000000000 then cached_at // 1000 else cached_at end as t, trim(cve_ids) as w from package_queries where cve_ids is not null),
  j as (select id, t, w, regexp_matches(w, '^[\[{{"]') as jsonish, case when regexp_matches(w, '^[\[{{"]') and json_valid(w) then case when json_type(w) = 'VARCHAR' then case when json_valid(json_extract_string(w, '$')) then json(json_extract_string(w, '$')) end else json(w) end end as v from q),
  ids as (select id, t, unnest(case when not jsonish then string_split(w, ',') when v is null then [] else list_transform(json_extract(v, '$[*]'), lambda e: coalesce(e ->> '$.id', e ->> '$')) end) as x from j),
- refs as (select distinct 'package_queries' as ref_table, id as ref_id, {_NORM} as cve_id, t from ids where x is not null and {_IS_ID}
- union select 'reachability', rec_id, {_NORM}, epoch_us(analyzed_at) // 1000000 from (select *, cve_id as x from reachability) where x is not null and {_IS_ID}),
- parents as (select {_NORM} as cve_id, cached_at, deleted_at from (select *, cve_id as x from cve_cache) where {_IS_ID}),
+ refs as (select distinct 'package_queries' as ref_table, id as ref_id, {SQL_NORM} as cve_id, t from ids where x is not null and {SQL_IS_ID}
+ union select 'reachability', rec_id, {SQL_NORM}, epoch_us(analyzed_at) // 1000000 from (select *, cve_id as x from reachability) where x is not null and {SQL_IS_ID}),
+ parents as (select {SQL_NORM} as cve_id, cached_at, deleted_at from (select *, cve_id as x from cve_cache) where {SQL_IS_ID}),
  judged as (select ref_table, ref_id, r.cve_id, t, count(p.cve_id) as n, count(*) filter (cached_at <= t and (deleted_at is null or deleted_at > t)) as live, count(*) filter (cached_at > t) as later from refs r left join parents p on r.cve_id = p.cve_id group by all),
  found as (select distinct ref_table, ref_id, cve_id, strftime(make_timestamp(t * 1000000), '%Y-%m') as period, case when n = 0 then 'missing' when later > 0 then 'late' else 'deleted' end as reason from judged where live = 0)"""
 _RECORD = "case when json_type(v) = 'OBJECT' then coalesce(v -> '$.vulnerabilities[0].cve', v -> '$.cve', v) end"
@@ -126,6 +129,11 @@ _CHILD = "(select rec_id, child, unnest(es) as e, unnest(generate_series(1, len(
 SQL: dict[str, str] = {
     "p3_found": f"{_P3} select * from found",
     "p3_snapshot": f"{_P3} select ref_table, period, reason, count(*) as orphans from found group by all",
+    "p3_history": f"""{_P3.rsplit("judged as", 1)[0].rstrip().rstrip(",")}, span as (select min(cached_at) as a, max(cached_at) as b from parents),
+ ends as (select i, case when i = {INCREMENTS} then 9223372036854775807 else a + (b - a) * i // {INCREMENTS} end as upto from span, generate_series(1, {INCREMENTS}) as g(i)),
+ judged as (select i, ref_table, ref_id, r.cve_id, t, count(p.cve_id) as n, count(*) filter (cached_at <= t and (deleted_at is null or deleted_at > t)) as live, count(*) filter (cached_at > t) as later
+ from ends join refs r on t <= upto left join parents p on r.cve_id = p.cve_id and cached_at <= upto group by all)
+ select i::int as increment, ref_table, strftime(make_timestamp(t * 1000000), '%Y-%m') as period, case when n = 0 then 'missing' when later > 0 then 'late' else 'deleted' end as reason, count(distinct (ref_id, cve_id)) as orphans from judged where live = 0 group by all""",
     "p5_found": f"""with j as (select rec_id, case when json_valid(cve) then case when json_type(cve) = 'VARCHAR' then case when json_valid(json_extract_string(cve, '$')) then json(json_extract_string(cve, '$')) end else json(cve) end end as v from nvd_cve_log4j),
  r as (select rec_id, {_RECORD} as r from j),
  lists as (select 'nvd_cve_log4j' as source_table, rec_id, child, 0 as parent_pos, pos, case when child = 'reference' then case when json_type(e) = 'VARCHAR' then e ->> '$' when json_type(e -> '$.url') = 'VARCHAR' then e ->> '$.url' end when json_type(e -> '$.type') = 'VARCHAR' then e ->> '$.type' end as val from {_CHILD}),
