@@ -32,6 +32,9 @@ reported; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import xor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,8 @@ DIVERSE = 0.5
 CLOSED = 3
 #: Most different words of a page.
 PAGE_WORDS = 50
+#: Tokens of documents whose arrays are computed at once.
+TOKENS = 100_000
 
 _FEATURES = (
     "doc_id bigint, slot boolean, notices boolean, code boolean, words int, text bigint, keys array<bigint>, full bigint, "
@@ -63,6 +68,10 @@ _BODIES = "doc_id bigint, plain boolean, text bigint, page bigint, size int, key
 _VALUES = "key bigint, low bigint, high bigint"
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def residue_features(documents: DataFrame) -> DataFrame:
     """Keys of each document's sentences, its lines at the ends and its marks, and what it shows by itself."""
 
@@ -78,37 +87,50 @@ def residue_features(documents: DataFrame) -> DataFrame:
         mark = pa.struct([("key", pa.int64()), ("words", pa.int32()), ("style", pa.string()), ("name", pa.string())])
         kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(edge), pa.list_(mark))
         names = ["doc_id", "slot", "notices", "code", "words", "text", "keys", "full", "edges", "marks"]
-        for batch in batches:
-            out = []
+
+        def rows(docs):
+            """Features of some documents, whose arrays are computed at once."""
+            with np.errstate(over="ignore"):
+                h, starts = reader.joined([d[3][0] for d in docs], [d[3][1] for d in docs])
+                every = reader.skeletons(h, starts).view(np.int64).tolist()
+                places, around = (x.tolist() for x in reader.places(h, starts))
+            n = m = 0
+            for doc, slot, notices, (tokens, ends, of_line, code, marks) in docs:
+                said = [(k, line) for k, line in zip(every[n : n + len(ends)], of_line, strict=True) if k]
+                n += len(ends)
+                keys = [k for k, _ in said]
+                held = [{"key": _signed(places[m + i]), "words": around[m + i], "style": style, "name": name} for i, (style, name) in enumerate(marks)]
+                m += len(marks)
+                begins = [i for i in range(len(said)) if not i or said[i][1] != said[i - 1][1]]
+                edges, seen = [], set()
+                if len(begins) > 1 or code and begins:
+                    for i in sorted({*range(min(EDGE, len(begins))), *range(max(0, len(begins) - EDGE), len(begins))}):
+                        here = keys[begins[i] : begins[i + 1] if i + 1 < len(begins) else len(keys)]
+                        line = ordered(here)
+                        edges.append({"line": line, "at": begins[i], "n": len(here), "s": reduce(xor, here), "once": line not in seen})
+                        seen.add(line)
+                yield doc, slot, notices, code, len(set(tokens)), ordered(keys), keys, reduce(xor, keys, 0), edges, held
+
+        def out(batch):
+            docs, size = [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 slot, notices = marks_and_notices(text)
-                with np.errstate(over="ignore"):
-                    read = reader.read(text)
-                    if read is None:
-                        if slot or notices:
-                            out.append((doc, slot, notices, False, 0, 0, [], 0, [], []))
-                        continue
-                    h, starts, of_line, code, marks = read
-                    all_keys = reader.skeletons(h, starts)
-                    said = np.flatnonzero(all_keys)
-                    keys, lines = all_keys[said], np.array(of_line)[said]
-                    places = []
-                    if marks:
-                        at, around = reader.places(h, starts, marks)
-                        places = [{"key": int(k), "words": int(w), "style": style, "name": name} for k, w, (_, style, name) in zip(at.view(np.int64), around, marks, strict=True)]
-                    begins = np.flatnonzero(np.diff(lines, prepend=-1)) if len(keys) else np.array([], int)
-                    ends = np.append(begins[1:], len(keys))
-                    edges, seen = [], set()
-                    if len(begins) > 1 or code and len(begins):
-                        for i in sorted({*range(min(EDGE, len(begins))), *range(max(0, len(begins) - EDGE), len(begins))}):
-                            here = keys[begins[i] : ends[i]]
-                            line = ordered(here.tolist())
-                            edges.append({"line": line, "at": int(begins[i]), "n": len(here), "s": int(np.bitwise_xor.reduce(here).view(np.int64)), "once": line not in seen})
-                            seen.add(line)
-                    full = int(np.bitwise_xor.reduce(keys).view(np.int64)) if len(keys) else 0
-                    out.append((doc, slot, notices, code, len(np.unique(h)), ordered(keys.tolist()), keys.view(np.int64).tolist(), full, edges, places))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                read = reader.read(text)
+                if read is None:
+                    if slot or notices:
+                        yield doc, slot, notices, False, 0, 0, [], 0, [], []
+                    continue
+                docs.append((doc, slot, notices, read))
+                size += len(read[0])
+                if size > TOKENS:
+                    yield from rows(docs)
+                    docs, size = [], 0
+            if docs:
+                yield from rows(docs)
+
+        for batch in batches:
+            if found := list(out(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
     return spread(documents.select("doc_id", "text")).mapInArrow(run, _FEATURES)
 
@@ -124,24 +146,33 @@ def fillings(documents: DataFrame, bitmap, bits: int) -> DataFrame:
 
         reader = Reader()
         table = np.frombuffer(bitmap.value, np.uint8)
+
+        def rows(docs):
+            with np.errstate(over="ignore"):
+                h, starts = reader.joined([d[0] for d in docs], [d[1] for d in docs])
+                keys, values, at = reader.values(h, starts)
+            b = keys >> np.uint64(64 - bits)
+            known = np.flatnonzero(table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
+            if len(known):
+                doc = np.searchsorted(np.cumsum([len(d[0]) for d in docs]), at[known], "right")
+                order = np.lexsort((values[known], keys[known], doc))
+                k, v, doc = keys[known][order], values[known][order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])]))
+                last = np.append(first[1:], len(k)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k[first], v[first], v[last])], names=["key", "low", "high"])
+
         for batch in batches:
-            out = []
+            docs, size = [], 0
             for text in batch.column("text").to_pylist():
-                with np.errstate(over="ignore"):
-                    read = reader.read(text, True)
-                    if read is None:
-                        continue
-                    keys, values = reader.values(read[0], read[1])
-                    b = keys >> np.uint64(64 - bits)
-                    at = np.flatnonzero(table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
-                    if len(at):
-                        order = at[np.lexsort((values[at], keys[at]))]
-                        k = keys[order]
-                        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                        last = np.append(first[1:], len(k)) - 1
-                        out.append((k[first].view(np.int64), values[order[first]].view(np.int64), values[order[last]].view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "low", "high"])
+                read = reader.read(text, True)
+                if read:
+                    docs.append(read)
+                    size += len(read[0])
+                    if size > TOKENS:
+                        yield from rows(docs)
+                        docs, size = [], 0
+            if docs:
+                yield from rows(docs)
 
     return spread(documents.select("text")).mapInArrow(run, _VALUES)
 

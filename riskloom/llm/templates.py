@@ -32,6 +32,7 @@ _FENCED = re.compile(r"(?<!\w)([A-Z])\1([A-Za-z_]{2,30})\1\1(?!\w)")
 #: Blanks, names of variables, and fixed values: words that forms hold before anybody fills them in.
 _BLANK = re.compile(r"(?<!\S)(?:_{3,}|\?{2,}|\.{4,}|-{3,})(?=[\s.,;:!]|$)|(?<!\S)[A-Z]+_[A-Z_]+(?=[\s.,;:!]|$)|(?<![\w.-])(?:tbd|todo|fixme|xxx|undefined|null|nan|TBD|TODO|FIXME|XXX|NULL|NaN|NAN|Undefined)(?![\w.-])|\[object Object\]")
 _SIGN = re.compile(r"[<{\[%&«§¤]|(?<!^)(?<!^[#*])[$#@|~^=!?*_+]{2}|[A-Z$]\(|[A-Z]_[A-Z]|\.{4}|---|([A-Z])\1[A-Za-z_]{2,30}\1\1")
+_ANY = re.compile(r"[<{\[%&«§¤$#@|~^=!?*_+(]")
 _WORDS = ("tbd", "todo", "fixme", "xxx", "undefined", "null", "nan")
 _MIRROR = str.maketrans("<>{}[]()«»", "><}{][)(»«")
 #: Signs that set words off in running text and say nothing about a slot.
@@ -89,23 +90,23 @@ def _style(m: re.Match) -> str | None:
 
 
 def marked(sentence: str) -> tuple[str, list[tuple[str, str]]]:
-    """``sentence`` with a token of its own for each mark, and (style, name) of the marks; a blank has neither."""
+    """``sentence`` with a token of its own for each mark, and (style, name) of the marks in their order; a blank has neither."""
     found: list[tuple[str, str]] = []
+
+    def put(style: str, name: str) -> str:
+        found.append((style, name))
+        return f" {_M}{chr(0xF0000 + min(len(found) - 1, 0xFFFD))} "
+
     def mark(m: re.Match) -> str:
         style = _style(m)
-        if style is None:
-            return m[0]
-        found.append((style, re.split(r"[ .]", m["n"].lower())[-1]))
-        return f" {_M} "
-
-    def fence(m: re.Match) -> str:
-        found.append((m[1] * 2, m[2].lower()))
-        return f" {_M} "
+        return m[0] if style is None else put(style, re.split(r"[ .]", m["n"].lower())[-1])
 
-    out = _FENCED.sub(fence, _MARK.sub(mark, sentence))
-    out, blanks = _BLANK.subn(f" {_M} ", out)
-    found += [("", "")] * blanks
-    return out, found
+    out = _MARK.sub(mark, sentence)
+    out = _FENCED.sub(lambda m: put(m[1] * 2, m[2].lower()), out)
+    out = _BLANK.sub(lambda m: put("", ""), out)
+    if not found:
+        return sentence, found
+    return out, [found[ord(w[1]) - 0xF0000] for w in out.split() if w[0] == _M]
 
 
 def _plain(h):
@@ -119,7 +120,7 @@ class Reader:
     """Reads texts into arrays of token hashes; remembers the tokens of words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {_M: _HERE}
+        self.known: dict[str, int] = {}
         self.grow(4096)
 
     def grow(self, n: int) -> None:
@@ -134,7 +135,9 @@ class Reader:
         if (t := self.known.get(word)) is not None:
             return t
         bare = word.strip(_STRIP)
-        if not any(c.isalnum() for c in bare):
+        if word[0] == _M:
+            t = _HERE
+        elif not any(c.isalnum() for c in bare):
             t = 0
         elif bare.isalpha() or bare.replace("'", "").replace("’", "").isalpha():
             t = key_of(bare.lower()) & _MASK & ~7 | _WORD
@@ -142,32 +145,30 @@ class Reader:
             t = key_of(bare) & _MASK & ~7 | _VALUE
         if len(self.known) > 500_000:
             self.known.clear()
-            self.known[_M] = _HERE
         self.known[word] = t
         return t
 
     def read(self, text: str | None, fields: bool = False):
-        """(hashes, starts, of_line, code, marks) of a text: token hashes; first token of each sentence and the end;
-        line of each sentence; whether there is code; (sentence, style, name) of each mark. None without any token."""
-        import numpy as np
-
+        """(tokens, ends, of_line, code, marks) of a text: token hashes; end of each sentence among them; line of each
+        sentence; whether there is code; (style, name) of each mark in its order. None without any token."""
         if not text:
             return None
         get, token = self.known.get, self.token
         flat: list[int] = []
-        starts, of_line, marks, code = [0], [], [], False
+        ends, of_line, marks, code = [], [], [], False
         low = text.lower()
         words = any(w in low for w in _WORDS)
+        rare = words or "...." in text or "---" in text or _FENCED.search(text)
         for n, line in enumerate(lines_of(text, fields)):
             if line == CODE_MARK:
                 code = True
                 continue
-            signs = words and any(w in line.lower() for w in _WORDS) or _SIGN.search(line)
+            signs = (rare or _ANY.search(line)) and (_SIGN.search(line) or words and any(w in line.lower() for w in _WORDS))
             for sentence in SENTENCE.split(line):
-                found = ()
                 sentence = spaced(sentence)
                 if signs:
                     sentence, found = marked(sentence)
+                    marks += found
                 parts = sentence.split()
                 here = [get(w) for w in parts]
                 if None in here:
@@ -175,15 +176,20 @@ class Reader:
                 if 0 in here:
                     here = [t for t in here if t]
                 if here:
-                    marks += [(len(of_line), style, name) for style, name in found]
                     flat += here
-                    starts.append(len(flat))
+                    ends.append(len(flat))
                     of_line.append(n)
-        if not flat:
-            return None
-        if len(flat) >= len(self.up):
-            self.grow(2 * len(flat))
-        return np.array(flat, np.uint64), np.array(starts), of_line, code, marks
+        return (flat, ends, of_line, code, marks) if flat else None
+
+    def joined(self, tokens: list[list[int]], ends: list[list[int]]):
+        """(h, starts) of several texts: token hashes as one array; first token of each sentence, and the end of all."""
+        import numpy as np
+
+        h = np.concatenate([np.array(t, np.uint64) for t in tokens])
+        if len(h) >= len(self.up):
+            self.grow(2 * len(h))
+        offsets = np.cumsum([0, *map(len, tokens)])
+        return h, np.concatenate([[0], *(np.array(e) + o for e, o in zip(ends, offsets[:-1], strict=True))])
 
     def sums(self, h):
         """Running polynomial sums of token hashes, from which the hash of any stretch follows."""
@@ -219,7 +225,7 @@ class Reader:
                 keys[n] = hash((6, *sorted(words))) & _MASK
         return keys
 
-    def places(self, h, starts, marks):
+    def places(self, h, starts):
         """(key, words) of the place of each mark: what stands around it, and how many words that has."""
         import numpy as np
 
@@ -231,7 +237,8 @@ class Reader:
         return keys, words[np.minimum(starts[n + 1], at + 1 + AROUND)] - words[np.maximum(starts[n], at - AROUND)]
 
     def values(self, h, starts):
-        """(key, value) of each place that one to ``VALUE_TOKENS`` tokens of a sentence may fill, of sentences without marks."""
+        """(key, value, token) of each place that one to ``VALUE_TOKENS`` tokens of a sentence may fill, of sentences
+        without marks; ``token``: where it begins."""
         import numpy as np
 
         c, own = self.sums(_plain(h)), self.sums(h)
@@ -239,13 +246,14 @@ class Reader:
         bad = np.zeros(len(starts) - 1, bool)
         bad[n[h == _HERE]] = True
         i = np.flatnonzero(~bad[n])
-        keys, values = [], []
+        keys, values, at = [], [], []
         for k in range(1, VALUE_TOKENS + 1):
             ok = i[i + k <= starts[n[i] + 1]]
             m = n[ok]
             keys.append(self.around(c, starts[m], starts[m + 1], ok, ok + k))
             values.append((own[ok + k] - own[ok]) * self.down[ok])
-        return np.concatenate(keys), np.concatenate(values)
+            at.append(ok)
+        return np.concatenate(keys), np.concatenate(values), np.concatenate(at)
 
 
 def _mixed(x):

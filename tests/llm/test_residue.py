@@ -84,7 +84,7 @@ def test_brackets_fill_nothing():
 
     with np.errstate(over="ignore"):
         r = Reader()
-        fills = lambda text: len(r.values(*r.read(text, True)[:2])[0])
+        fills = lambda text: len(r.values(*r.joined(*([x] for x in r.read(text, True)[:2])))[0])
         assert fills("ok [1.2](x)\n") and fills("ok 1.2\n") and not fills("ok <|end|>\n")
 
 
