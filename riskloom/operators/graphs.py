@@ -45,10 +45,11 @@ def innermost(definitions: DataFrame, calls: DataFrame, first: bool = True) -> D
 
     ``definitions``: file, name, start, end, ord; ``calls``: file, call, line.
     """
-    on = (calls["file"] == definitions["file"]) & calls["line"].between(definitions["start"], definitions["end"])
-    j = calls.join(definitions.select("file", "name", "start", "end", "ord"), on).select(calls["file"], calls["call"], calls["line"], definitions["name"], definitions["ord"])
+    spans = definitions.select(F.col("file").alias("_file"), F.col("name").alias("_name"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("ord").alias("_ord"))
+    on = (F.col("file") == F.col("_file")) & F.col("line").between(F.col("_start"), F.col("_end"))
+    j = calls.select("file", "call", "line").join(spans, on)
     pick = F.min_by if first else F.max_by
-    return j.groupBy("file", "call", "line").agg(pick("name", "ord").alias("name"))
+    return j.groupBy("file", "call", "line").agg(pick("_name", "_ord").alias("name"))
 
 
 def full_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators import usages
+from riskloom.session import Cuts
 from riskloom.sources import code, manifests
 from riskloom.tables import read
 
@@ -65,12 +67,43 @@ def code_imports(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.substring_index(name, ".", 1).alias("module")).groupBy("module").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("lines"))
 
 
-def code_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Imports, definitions and calls of the documents that are Python or JavaScript as a whole."""
+#: Lines that show the language of a text, tried in this order; a text that can't be read as that language has no facts.
+LANGUAGES = (
+    (".go", r"(?m)^package \w+\s*$"), (".js", r"(?m)^(?:import .*from ['\"]|export (?:default |async |function|class|const)|(?:const|let|var) .*require\()"),
+    (".py", r"(?m)^(?:def \w+\(|class \w+[(:]|from [\w.]+ import |import [\w.]+(?: as \w+)?\s*$)"), (".rb", r"(?m)^(?:require(?:_relative)? ['\"]|module [A-Z]\w*\s*$)"),
+)
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of all documents that hold a line of a language the scanner reads."""
     t = _docs(spark, d)
-    ending = F.when(F.col("text").rlike(r"^import \w+\nfrom "), ".py").when(F.col("text").rlike(r"^import \{"), ".js")
+    ending = F.lit(None).cast("string")
+    for end, pattern in reversed(LANGUAGES):
+        ending = F.when(F.col("text").rlike(pattern), end).otherwise(ending)
     files = t.select(F.lit("documents").alias("repo_id"), F.concat(F.col("doc_id").cast("string"), ending).alias("path"), "text").filter("path is not null")
-    return code.facts(files).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"))
+    return code.facts(files)
+
+
+def code_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Imports, bound names, uses, definitions, calls and exports in the documents that are code."""
+    return _code(spark, d).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"))
+
+
+def code_usages(spark: SparkSession, d: str) -> DataFrame:
+    """Modules that documents import and how the imported names are used."""
+    u = usages.usages(Cuts(spark, "code").cut(_code(spark, d)))
+    return u.groupBy(F.substring_index("target", ".", 1).alias("module"), "how").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("path").alias("files"))
+
+
+def code_exports(spark: SparkSession, d: str) -> DataFrame:
+    return _code(spark, d).filter("kind = 'export'").groupBy("name", F.col("detail").alias("sort")).agg(F.countDistinct("path").alias("files"))
+
+
+def code_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions in documents from which calls lead to a vulnerable symbol of the findings, by the number of calls."""
+    sinks = read(spark, d, "reachability", "vulnerable_symbols").select(F.explode("vulnerable_symbols").alias("name"))
+    edges = usages.call_edges(Cuts(spark, "code").cut(_code(spark, d)))
+    return usages.reached(edges, sinks).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("smallest"))
 
 
 def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +119,7 @@ def json_manifest(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (requirements_scan, lock_entries, dep_scan_union, ecosystem_detect, code_imports, code_facts, manifest_scan, json_manifest)}
+QUERIES = {f.__name__: f for f in (requirements_scan, lock_entries, dep_scan_union, ecosystem_detect, code_imports, code_facts, code_usages, code_exports, code_reach, manifest_scan, json_manifest)}
 
 _LINES = r"(select doc_id, unnest(string_split_regex(text, '\r?\n')) as line, unnest(generate_series(1, len(string_split_regex(text, '\r?\n')))) as pos from documents where text is not null)"
 _IND = ", ".join(f"('{f}', '{e}')" for e, names in manifests.INDICATORS.items() for f in names)
