@@ -50,3 +50,31 @@ def test_upsert_sink(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["k"], r["v"]) for r in current(spark, out).collect()} == {("a", 7), ("b", 5), (None, 6)}
+
+
+def test_upsert_again_and_from_a_new_checkpoint(spark, tmp_path):
+    out = str(tmp_path / "table")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int, ts timestamp")
+    held = lambda: {(r["k"], r["v"]) for r in current(spark, out).collect()}
+    first = upsert_into(out, ["k"], ["ts"])
+    first(rows(("a", 1, ts("2024-01-01T00:00:00")), (None, 0, ts("2024-01-01T00:00:00"))), 0)
+    first(rows(("b", 2, ts("2024-01-02T00:00:00"))), 1)
+    first(rows(("b", 9, ts("2024-01-09T00:00:00"))), 1)  # tried again after it was logged: not applied twice
+    assert held() == {("a", 1), (None, 0), ("b", 2)}
+    again = upsert_into(out, ["k"], ["ts"])  # numbers begin anew
+    again(rows(("c", 3, ts("2024-01-01T00:00:00")), ("a", 4, ts("2024-01-03T00:00:00"))), 0)
+    assert held() == {("a", 4), (None, 0), ("b", 2), ("c", 3)}
+    again(rows(("a", 5, ts("2023-01-03T00:00:00"))), 1)  # an older write changes nothing
+    assert held() == {("a", 4), (None, 0), ("b", 2), ("c", 3)}
+    # a batch that failed before it was logged left files behind: it is written over them
+    spark.createDataFrame([(1,)], "x int").write.parquet(out + "/data/v4/_bucket=0")
+    again(rows(("d", 6, ts("2024-01-01T00:00:00"))), 2)
+    assert held() == {("a", 4), (None, 0), ("b", 2), ("c", 3), ("d", 6)}
+
+
+def test_upsert_of_nothing(spark, tmp_path):
+    out = str(tmp_path / "table")
+    write = upsert_into(out, ["k"], ["v"])
+    assert current(spark, out) is None
+    write(spark.createDataFrame([], "k string, v int"), 0)
+    assert current(spark, out).count() == 0
