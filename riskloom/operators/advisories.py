@@ -75,23 +75,27 @@ def affected_counts(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
 
     ``dependencies``: dep_id, ecosystem, name, version. Pairs are never formed: starts and ends of ranges and the
     versions are put in one order, and the number of ranges a version lies in is a running sum of +1 and -1. It runs
-    within (package, major version), with the sum of all smaller majors from a table of one row each, so that a
-    package with a great part of all rows is spread. An open end never closes; an empty range holds nothing.
+    over distinct versions within (package, major version), with the sum of all smaller majors from a table of one row
+    each, and is joined back to the dependencies, so that a package with a great part of all rows costs no more than
+    its versions. An open end never closes; an empty range holds nothing.
     """
     start, end = plain_key(F.coalesce("introduced", F.lit("0"))), plain_key("fixed")
     marks = ranges.filter("ecosystem is not null and name is not null").select("ecosystem", "name", start.alias("s"), end.alias("e"))
     marks = marks.filter(F.col("e").isNull() | (F.col("s") < F.col("e")))
     step = F.explode(F.array(F.struct(F.col("s").alias("k"), F.lit(1).alias("d")), F.struct(F.col("e").alias("k"), F.lit(-1).alias("d"))))
     steps = marks.select("ecosystem", "name", step.alias("x")).filter("x.k is not null").groupBy("ecosystem", "name", F.col("x.k").alias("k")).agg(F.sum("x.d").alias("d"))
-    deps = dependencies.filter("version is not null").select("dep_id", "ecosystem", "name", plain_key(F.col("version")).alias("k"))
-    rows = steps.select(F.lit(None).cast("bigint").alias("dep_id"), "ecosystem", "name", "k", "d").unionByName(deps.withColumn("d", F.lit(0).cast("bigint")))
+    asked = dependencies.filter("version is not null").select("dep_id", "ecosystem", "name", "version")
+    versions = asked.select("ecosystem", "name", "version").distinct().withColumn("k", plain_key(F.col("version"))).withColumn("d", F.lit(0).cast("bigint"))
+    rows = steps.select("ecosystem", "name", F.lit(None).cast("string").alias("version"), "k", "d").unionByName(versions)
     rows = rows.withColumn("major", F.coalesce(F.get("k", F.lit(0)), F.lit(-1).cast("bigint")))
     majors = rows.groupBy("ecosystem", "name", "major").agg(F.sum("d").alias("m"))
     before = W.partitionBy("ecosystem", "name").orderBy("major").rowsBetween(W.unboundedPreceding, -1)
     majors = majors.select("ecosystem", "name", "major", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("carry"))
     upto = W.partitionBy("ecosystem", "name", "major").orderBy("k").rangeBetween(W.unboundedPreceding, W.currentRow)
-    out = rows.withColumn("n", F.sum("d").over(upto)).filter("dep_id is not null").join(majors, ["ecosystem", "name", "major"])
-    return out.select("dep_id", (F.col("n") + F.col("carry")).alias("advisories"))
+    out = rows.withColumn("n", F.sum("d").over(upto)).filter("version is not null").join(majors, ["ecosystem", "name", "major"])
+    found = out.select(F.col("ecosystem").alias("_e"), F.col("name").alias("_n"), F.col("version").alias("_v"), (F.col("n") + F.col("carry")).alias("advisories"))
+    same = asked["ecosystem"].eqNullSafe(found["_e"]) & asked["name"].eqNullSafe(found["_n"]) & (asked["version"] == found["_v"])
+    return asked.join(found, same, "left").select("dep_id", F.coalesce("advisories", F.lit(0).cast("bigint")).alias("advisories"))
 
 
 __all__ = ["affected_counts", "completeness", "keep_best", "last_event", "osv_affected", "osv_rows", "range_key"]

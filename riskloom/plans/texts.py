@@ -77,7 +77,10 @@ def render_rules(spark: SparkSession, d: str) -> DataFrame:
 def render_comment(spark: SparkSession, d: str) -> DataFrame:
     """For each request of findings: its ten first packages with at most three findings each and how many more there are."""
     t = read(spark, d, "reachability", "merge_request_id", "package_name", "rec_id", "status").filter("merge_request_id is not null and package_name is not null")
-    g = t.groupBy("merge_request_id", "package_name").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("rec_id")), 1, 3).alias("ids"))
+    # three findings a package are kept before the shuffle; only they are ever collected
+    first = t.withColumn("i", F.row_number().over(W.partitionBy("merge_request_id", "package_name").orderBy("rec_id"))).filter("i <= 3")
+    first = first.groupBy("merge_request_id", "package_name").agg(F.array_sort(F.collect_list("rec_id")).alias("ids"))
+    g = t.groupBy("merge_request_id", "package_name").agg(F.count(F.lit(1)).alias("n")).join(first, ["merge_request_id", "package_name"])
     w = W.partitionBy("merge_request_id").orderBy("package_name")
     g = g.withColumn("p", F.row_number().over(w)).filter("p <= 10")
     text = F.concat("package_name", F.lit(": "), F.array_join(F.transform("ids", lambda x: x.cast("string")), ", "), F.when(F.col("n") > 3, F.concat(F.lit(" and "), (F.col("n") - 3).cast("string"), F.lit(" more"))).otherwise(""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskloom.functions import versions as V
+from riskloom.session import bounded
 from riskloom.tables import read
 
 DIALECTS = {
@@ -57,12 +58,14 @@ def kb_join(spark: SparkSession, d: str) -> DataFrame:
     line = read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     part = read(spark, d, "part", "p_partkey", "p_size")
     version = F.concat_ws(".", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), (F.col("l_suppkey") % 10).cast("string"))
-    # each version and each range is parsed once, before the join; the residual condition only compares arrays
-    deps = line.select(F.col("l_orderkey").alias("repo"), F.col("l_partkey").alias("package"), V.range_key(version).alias("key"))
+    # each distinct version and each range is parsed once, before the join; the residual condition only compares arrays
+    asked = line.select(F.col("l_orderkey").alias("repo"), F.col("l_partkey").alias("package"), version.alias("version"))
+    keys = asked.select("version").distinct().select(F.col("version").alias("_v"), V.range_key(F.col("version")).alias("key"))
+    deps = asked.join(bounded(keys), asked["version"] == keys["_v"]).select("repo", "package", "key")
     ranges = F.concat(F.lit(">=1."), F.col("p_size").cast("string"), F.lit(",<"), (2 + F.col("p_size") % 5).cast("string"), F.lit("."), F.col("p_size").cast("string"))
     signatures = part.select(F.col("p_partkey").alias("package"), V.conditions(ranges).alias("conditions"))
     hit = deps.join(signatures, "package").filter(V.holds(F.col("key"), F.col("conditions")))
-    return hit.groupBy("repo").agg(F.count(F.lit(1)).alias("affected"), F.countDistinct("package").alias("packages"))
+    return hit.groupBy("repo", "package").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.sum("n").alias("affected"), F.count(F.lit(1)).alias("packages"))
 
 
 _LINE_VERSION = "l_linenumber::varchar || '.' || floor(l_quantity)::int::varchar || '.' || (l_suppkey % 10)::varchar"
