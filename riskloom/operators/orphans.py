@@ -3,7 +3,7 @@
 Keyed state is kept in tables of the shared folder, so no key's history is ever held by one task:
 
 * ``parents``: the stored rows of each key, ``cve_id, from_s, to_s, version`` (live from ``from_s`` up to ``to_s``, null = open);
-* ``waiting``: the references without a live parent, with their ``reason``;
+* ``waiting``: the references without a live parent, with their ``reason``, repeated ones repeated;
 * ``resolved``: the references with one, a part for each increment with the latest time in it.
 
 ``advance`` applies an increment. New references probe the parents. A key whose parents changed has its waiting
@@ -101,7 +101,7 @@ def advance(state: OrphanState | None, refs: DataFrame | None, parents: DataFram
     """
     some = refs if refs is not None else parents
     cuts = cuts or Cuts(some.sparkSession, "orphans")
-    fresh = None if refs is None else refs.filter("cve_id is not null").select(*_REF).distinct()
+    fresh = None if refs is None else refs.filter("cve_id is not null").select(*_REF)
     if parents is not None:
         parents = parents.filter("cve_id is not null").select("cve_id", "from_s", "to_s", F.col("version") if "version" in parents.columns else F.lit(None).cast("bigint").alias("version"))
     if state is None:
@@ -132,7 +132,7 @@ def advance(state: OrphanState | None, refs: DataFrame | None, parents: DataFram
             part = cuts.cut(part.select(*_REF, "_again"))
             again = again.unionByName(part.filter("_again").drop("_again"))
             resolved.append((part.filter("not _again").drop("_again"), last))
-        todo = again if fresh is None else fresh.unionByName(again).distinct()
+        todo = again if fresh is None else fresh.unionByName(again)
     if todo is None:
         return state
     more, parts = _judged(todo, known, cuts)
@@ -158,7 +158,6 @@ def replay(refs: DataFrame, parents: DataFrame, increments: int = INCREMENTS, sn
     parents without a time come with the first.
     """
     cuts = Cuts(refs.sparkSession, "orphans")
-    refs = cuts.cut(refs.filter("cve_id is not null").select(*_REF))
     parents = cuts.cut(parents.filter("cve_id is not null").select("cve_id", "from_s", "to_s").distinct())
     span = parents.agg(F.min("from_s").alias("a"), F.max("from_s").alias("b")).first()
     a, b = (span["a"], span["b"]) if span["a"] is not None else (0, 0)
@@ -171,11 +170,12 @@ def replay(refs: DataFrame, parents: DataFrame, increments: int = INCREMENTS, sn
         return F.when(F.col(t).isNull(), 0).otherwise(out)
 
     came = parents.withColumn("_i", number("from_s")).withColumn("_j", F.when(F.col("to_s").isNull(), None).otherwise(F.greatest("_i", number("to_s"))))
+    refs = cuts.cut(refs.filter("cve_id is not null").select(*_REF, number("t").alias("_i")), "_i")
     state, kept = None, None
     for i in range(increments):
         stored = came.filter(F.col("_i") == i).select("cve_id", "from_s", F.when(F.col("_j") == i, F.col("to_s")).alias("to_s"), F.col("to_s").alias("version"))
         deleted = came.filter((F.col("_j") == i) & (F.col("_i") < i)).select("cve_id", "from_s", "to_s", F.col("to_s").alias("version"))
-        state = advance(state, refs.filter(number("t") == i), stored.unionByName(deleted), cuts)
+        state = advance(state, refs.filter(F.col("_i") == i), stored.unionByName(deleted), cuts)
         if snapshots:
             counts = cuts.cut(snapshot(state).select(F.lit(i + 1).alias("increment"), "ref_table", "period", "reason", "orphans"))
             kept = counts if kept is None else kept.unionByName(counts)

@@ -51,10 +51,12 @@ class Cuts:
         except Exception:  # noqa: BLE001  # the session may be gone
             pass
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` written and read again; ``by``: a column of few values by which its files lie apart."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._riskloom_path = path
         return out

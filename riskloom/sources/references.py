@@ -15,15 +15,19 @@ def with_ids(df: DataFrame, text: str, out: str = "_ids") -> DataFrame:
     A JSON list that is cut off can't be read and gives null, and so does null. Elements may be null. The steps are
     separate projections, so that every text is parsed once.
     """
-    df = df.withColumn("_t", trimmed(F.col(text)))
+    # nearly all are plain JSON lists without objects or lists inside, which are read in one step
+    raw = F.col(text)
+    listed = (F.substring(raw, 1, 1) == "[") & (F.locate("]", raw) == F.length(raw)) & ~F.contains(raw, F.lit("{"))
+    df = df.withColumn("_l", F.when(listed, F.from_json(raw, "array<string>", {"allowSingleQuotes": "false"})))
+    df = df.withColumn("_t", F.when(F.col("_l").isNull(), trimmed(raw)))
     jsonish = F.col("_t").rlike(r'^[\[{"]')
-    df = df.withColumn("_v", F.try_parse_json(F.when(jsonish, F.col("_t"))))
+    df = df.withColumn("_v", F.when(jsonish, F.try_parse_json(F.when(jsonish, F.col("_t")))))
     df = df.withColumn("_s", F.when(F.schema_of_variant("_v") == "STRING", trimmed(F.try_variant_get("_v", "$", "string"))))
     df = df.withColumn("_n", F.when(F.col("_s").isNotNull(), F.try_parse_json("_s")).otherwise(F.col("_v")))
     df = df.withColumn("_i", F.coalesce(F.try_variant_get("_n", "$", "array<variant>"), F.when(F.col("_n").isNotNull(), F.array("_n"))))
     texts = F.transform("_i", lambda x: F.coalesce(F.try_variant_get(x, "$.id", "string"), F.try_variant_get(x, "$", "string")))
     plain = F.when(~jsonish, F.col("_t")).when(~F.col("_s").rlike(r"^[\[{]"), F.col("_s"))
-    return df.withColumn(out, F.coalesce(F.split(plain, r"[,;|]"), texts)).drop("_t", "_v", "_s", "_n", "_i")
+    return df.withColumn(out, F.coalesce("_l", F.split(plain, r"[,;|]"), texts)).drop("_l", "_t", "_v", "_s", "_n", "_i")
 
 
 def query_references(queries: DataFrame) -> DataFrame:
