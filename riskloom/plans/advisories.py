@@ -29,15 +29,18 @@ def osv_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nvd_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """id, first English description, vector, score and severity of each readable record, by the first metric it has."""
+    """id, first English description, vector, score and severity of each readable record, by the first metric of the
+    newest scheme it has (3.1, 3.0, 2); a word for the severity stands before the score's band."""
     t = with_record(read(spark, d, "nvd_cve_log4j", "rec_id", "cve"), "cve")
-    get = lambda path, kind="string": F.try_variant_get("_record", path, kind)
-    said = F.try_variant_get("_record", "$.descriptions", "array<struct<lang:string,value:string>>")
-    english = A.first_where(said, lambda x: x["lang"] == "en")["value"]
-    metric = "$.metrics.cvssMetricV31[0].cvssData"
-    return t.filter(get("$.id").isNotNull()).select(
-        "rec_id", get("$.id").alias("id"), english.alias("description"), get(f"{metric}.vectorString").alias("cvss_vector"),
-        get(f"{metric}.baseScore", "double").alias("cvss_score"), severity_of_score(get(f"{metric}.baseScore", "double")).alias("severity"),
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    said = F.coalesce(get("_record", "$.descriptions", "array<variant>"), F.array(get("_record", "$.descriptions", "variant")))
+    english = get(A.first_where(said, lambda x: get(x, "$.lang") == "en"), "$.value")
+    t = t.withColumn("_m", F.coalesce(*(get("_record", f"$.metrics.cvssMetric{v}[0]", "variant") for v in ("V31", "V30", "V2"))))
+    score = get("_m", "$.cvssData.baseScore", "double")
+    word = severity_of(F.coalesce(get("_m", "$.cvssData.baseSeverity"), get("_m", "$.baseSeverity")))
+    return t.filter(get("_record", "$.id").isNotNull()).select(
+        "rec_id", get("_record", "$.id").alias("id"), english.alias("description"), get("_m", "$.cvssData.vectorString").alias("cvss_vector"),
+        score.alias("cvss_score"), F.when(word != "unknown", word).otherwise(severity_of_score(score)).alias("severity"),
     )
 
 
@@ -115,7 +118,13 @@ _AFFECTED = f"""select rec_id, entry, ecosystem, name, {_EVENT.format('introduce
 _POINTS = "(case when coalesce(description, '') <> '' then 10 else 0 end + case when cvss_score is not null then 10 else 0 end + case when coalesce(cvss_vector, '') <> '' then 5 else 0 end + case when len(affected_packages) > 0 then 10 else 0 end + case when len(reference_urls) > 0 then 5 else 0 end + case when published_date is not null then 5 else 0 end + case when modified_date is not null then 5 else 0 end)"
 _RANK = "case lower(severity) when 'none' then 1 when 'low' then 2 when 'medium' then 3 when 'high' then 4 when 'critical' then 5 else 0 end"
 _TRIMMED = "lower(trim(source))"
+_JSON = "case when json_valid(cve) then case when json_type(cve) = 'VARCHAR' then case when json_valid(json_extract_string(cve, '$')) then json(json_extract_string(cve, '$')) end else json(cve) end end"
+SQL_NVD = f"select rec_id, case when json_type(v) = 'OBJECT' then coalesce(v -> '$.vulnerabilities[0].cve', v -> '$.cve', v) end as r from (select rec_id, {_JSON} as v from nvd_cve_log4j)"
+_WORD = _SEV.format("coalesce(m ->> '$.cvssData.baseSeverity', m ->> '$.baseSeverity')")
 SQL = {
+    "nvd_normalised": f"""with n as ({SQL_NVD}), x as (select rec_id, r, case json_type(r -> '$.descriptions') when 'ARRAY' then json_extract(r, '$.descriptions[*]') when 'OBJECT' then [r -> '$.descriptions'] else [] end as ds,
+ coalesce(r -> '$.metrics.cvssMetricV31[0]', r -> '$.metrics.cvssMetricV30[0]', r -> '$.metrics.cvssMetricV2[0]') as m from n where (r ->> '$.id') is not null), y as (select *, try_cast(m ->> '$.cvssData.baseScore' as double) as score, {_WORD} as word from x)
+ select rec_id, r ->> '$.id' as id, list_filter(ds, lambda e: (e ->> '$.lang') = 'en')[1] ->> '$.value' as description, m ->> '$.cvssData.vectorString' as cvss_vector, score as cvss_score, case when word <> 'unknown' then word else {_BAND.format('score')} end as severity from y""",
     "osv_normalised": _OSV,
     "osv_affected": _AFFECTED,
     "osv_references": "select rec_id, pos, r.type as kind, r.url as url from (select rec_id, unnest(refs) as r, (generate_subscripts(refs, 1) - 1)::int as pos from osv_response) where r.url is not null",

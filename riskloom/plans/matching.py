@@ -18,9 +18,11 @@ PATTERNS = (("traversal", ("path traversal", "outside the web root"), "-core$"),
 def nvd_affected(spark: SparkSession, d: str) -> DataFrame:
     """Vulnerable platforms of the readable records: product with its bounds, counted."""
     t = with_record(read(spark, d, "nvd_cve_log4j", "rec_id", "cve"), "cve")
-    kind = "array<struct<nodes:array<struct<cpeMatch:array<struct<vulnerable:boolean,criteria:string,versionStartIncluding:string,versionEndExcluding:string>>>>>>"
-    nodes = F.explode(F.flatten(F.transform(F.filter(F.try_variant_get("_record", "$.configurations", kind), lambda c: c["nodes"].isNotNull()), lambda c: c["nodes"])))
-    m = t.select("rec_id", nodes.alias("n")).select("rec_id", F.explode("n.cpeMatch").alias("m")).filter("m.vulnerable and m.criteria is not null")
+    listed = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array(F.try_variant_get(v, path, "variant")))
+    for path in ("configurations", "nodes", "cpeMatch"):
+        t = t.select("rec_id", F.explode(listed("_record", f"$.{path}")).alias("_record"))
+    text = lambda c: F.try_variant_get("_record", f"$.{c}", "string").alias(c)
+    m = t.select("rec_id", F.struct(F.try_variant_get("_record", "$.vulnerable", "boolean").alias("vulnerable"), text("criteria"), text("versionStartIncluding"), text("versionEndExcluding")).alias("m")).filter("m.vulnerable and m.criteria is not null")
     return m.groupBy(N.product(F.col("m.criteria")).alias("product")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rec_id").alias("records"), F.min("m.versionStartIncluding").alias("least_start"), F.count("m.versionEndExcluding").alias("ended"))
 
 
@@ -93,5 +95,10 @@ SQL = {
     "osv_by_package": f"select a.ecosystem, a.name, count(k.name) as entries from (select distinct lower(ecosystem) as ecosystem, package_name as name from package_queries) a left join (AFFECTED) k on a.ecosystem = k.ecosystem and a.name = k.name group by all",
 }
 from riskloom.plans.advisories import SQL as _ADVISORIES  # noqa: E402
+from riskloom.plans.advisories import SQL_NVD  # noqa: E402
+
+_ITEMS = "unnest(case json_type({0}) when 'ARRAY' then json_extract({0}, '$[*]') when 'OBJECT' then [{0}] else [] end)"
+SQL["nvd_affected"] = f"""with c as (select rec_id, {_ITEMS.format("(r -> '$.configurations')")} as c from ({SQL_NVD})), n as (select rec_id, {_ITEMS.format("(c -> '$.nodes')")} as n from c), m as (select rec_id, {_ITEMS.format("(n -> '$.cpeMatch')")} as m from n)
+ select coalesce(nullif(nullif(split_part(m ->> '$.criteria', ':', 5), ''), '*'), split_part(m ->> '$.criteria', ':', 4)) as product, count(*) as n, count(distinct rec_id) as records, min(m ->> '$.versionStartIncluding') as least_start, count(m ->> '$.versionEndExcluding') as ended from m where (m ->> '$.vulnerable') = 'true' and (m ->> '$.criteria') is not null group by 1"""
 
 SQL["osv_by_package"] = SQL["osv_by_package"].replace("AFFECTED", _ADVISORIES["osv_affected"])

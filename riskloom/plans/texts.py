@@ -13,11 +13,11 @@ from riskloom.tables import read
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return T.lines(read(spark, d, "documents", "doc_id", "text", "source").filter("source = 'release_notes'"), "doc_id", "text")
+    return T.lines(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def changelog_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of the release notes: version, first line and number of lines."""
+    """Sections under headings with a version: version, first line and number of lines."""
     s = T.sections(_lines(spark, d), "doc_id").filter("version is not null")
     return s.groupBy("doc_id", "version").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n_lines"))
 
@@ -97,7 +97,7 @@ def confidence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (changelog_sections, changelog_rules, line_context, api_names, strategy_union_dedup, version_heuristics, render_rules, render_comment, confidence)}
 
-_LINES = r"""(select doc_id, (unnest(generate_series(1, len(ls))) - 1)::int as pos, unnest(ls) as line from (select doc_id, string_split_regex(text, '\r?\n') as ls from documents where source = 'release_notes' and text is not null))"""
+_LINES = r"""(select doc_id, (unnest(generate_series(1, len(ls))) - 1)::int as pos, unnest(ls) as line from (select doc_id, string_split_regex(text, '\r?\n') as ls from documents where text is not null))"""
 _SECTIONS = f"(select *, last_value(v ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row) as version from (select *, case when regexp_matches(line, '{T.HEADER}') then regexp_extract(line, '{T.HEADER}', 1) end as v from {_LINES}))"
 _RULE = "case " + " ".join(f"when regexp_matches(lower(line), '{p}') then '{n}'" for n, p in T.LINE_RULES) + " end"
 _CLEAN = r"trim(regexp_replace(regexp_replace(line, '^\s*(?:[-*+]|#+|[0-9]+\.)\s+', ''), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'))[1:200]"

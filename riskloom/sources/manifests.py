@@ -191,8 +191,8 @@ FORMATS: tuple[tuple[str, str, Callable[[str], Iterator[Row]]], ...] = (
 )
 #: Files in the root that show an ecosystem.
 INDICATORS = {
-    "npm": ("package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"), "pypi": ("requirements.txt", "pyproject.toml", "setup.py", "Pipfile", "Pipfile.lock", "poetry.lock"), "go": ("go.mod", "go.sum"),
-    "rubygems": ("Gemfile", "Gemfile.lock"), "maven": ("pom.xml", "build.gradle"), "cargo": ("Cargo.toml", "Cargo.lock"), "composer": ("composer.json", "composer.lock"),
+    "npm": ("package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".npmrc"), "pypi": ("requirements.txt", "requirements-dev.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile", "Pipfile.lock", "poetry.lock"), "go": ("go.mod", "go.sum"),
+    "rubygems": ("Gemfile", "Gemfile.lock", ".ruby-version"), "maven": ("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle"), "cargo": ("Cargo.toml", "Cargo.lock"), "composer": ("composer.json", "composer.lock"),
 }
 EXCLUDED = ("node_modules", ".git", "vendor", "venv", ".venv", "__pycache__", "dist", "build")
 
@@ -240,9 +240,7 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*", excluded: tupl
     """repo_id (the folder), path below it and text of every file whose name matches and that no excluded folder holds."""
     ship(spark)
     t = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
     t = t.select(F.lit(folder).alias("repo_id"), F.expr(f"substring(regexp_replace(_metadata.file_path, '^file:/+', '/'), {len(folder.rstrip('/')) + 2})").alias("path"), F.col("value").alias("text"))
-    assert path is not None
     return t.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded))))
 
 
