@@ -37,7 +37,7 @@ OPEN = 9_223_372_036_854_775_807
 NEVER = -9_000_000_000_000_000
 DAY = 86_400
 #: Increments of ``replay``.
-INCREMENTS = 4
+INCREMENTS = 3
 
 _REF = ("ref_table", "ref_id", "cve_id", "t")
 
