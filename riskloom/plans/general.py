@@ -12,7 +12,7 @@ from riskloom.functions import timestamps as T
 from riskloom.functions.identifiers import SQL_IS_ID, SQL_NORM
 from riskloom.sources.payloads import with_record
 from riskloom.sources.references import cache_entries, finding_references, query_references
-from riskloom.session import bounded
+from riskloom.session import Cuts, bounded
 from riskloom.tables import read
 
 
@@ -93,11 +93,24 @@ def nvd_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def osv_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Adjacency table of the ranges in osv_response; of the affected entries only these are read."""
+    """Adjacency table of the affected entries in osv_response, whole: packages, ranges, their events, versions."""
     t = read(spark, d, "osv_response", "rec_id", "affected")
-    slim = F.transform("affected", lambda a: F.when(a.isNotNull(), F.struct(F.transform(a["ranges"], lambda r: F.when(r.isNotNull(), F.struct(r["type"].alias("type")))).alias("ranges"))))
-    payload = F.to_json(F.struct(slim.alias("affected")), {"ignoreNullFields": "false"})
-    return shred(t.select(F.lit("osv_response").alias("source_table"), "rec_id", payload.alias("payload")), ["affected"], ["type", "ranges"])
+    payload = F.to_json(F.struct("affected"), {"ignoreNullFields": "false"})
+    return shred(t.select(F.lit("osv_response").alias("source_table"), "rec_id", payload.alias("payload")), ["affected"], ["type", "ranges", "ecosystem", "name", "introduced", "fixed", "last_affected", "versions"])
+
+
+def affected_ranges(osv: DataFrame) -> DataFrame:
+    """source_table, rec_id, node, parent_pos, pos, type: ranges with the place of their affected entry."""
+    owners = osv.filter("label = 'affected' and kind = 'object'").select("source_table", "rec_id", F.col("node").alias("parent"), F.col("ordinal").alias("parent_pos"))
+    return entities(osv, ["ranges"], ["type"]).join(owners, ["source_table", "rec_id", "parent"]).select("source_table", "rec_id", "node", "parent_pos", "pos", "type")
+
+
+def p5_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the ranges in osv_response with the places of range and affected entry: the level below those of ``p5_found``."""
+    osv = Cuts(spark, "nodes").cut(osv_nodes(spark, d))
+    ranges = affected_ranges(osv).select("rec_id", F.col("node").alias("parent"), "parent_pos", F.col("pos").alias("range_pos"))
+    events = entities(osv, ["events"], ["introduced", "fixed", "last_affected"]).filter("coalesce(introduced, fixed, last_affected) is not null")
+    return events.join(ranges, ["rec_id", "parent"]).select("rec_id", F.col("parent_pos").alias("affected_pos"), "range_pos", "pos", "introduced", "fixed", "last_affected")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,14 +119,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     lists = entities(nvd, ["references", "weaknesses"], ["url", "type"], bare={"references": "url"})
     is_ref = F.col("label") == "references"
     flat = lists.select("source_table", "rec_id", F.when(is_ref, "reference").otherwise("weakness").alias("child"), zero.alias("parent_pos"), "pos", F.when(is_ref, F.col("url")).otherwise(F.col("type")).alias("val"))
-    owners = osv.filter("label = 'affected' and kind = 'object'").select("source_table", "rec_id", F.col("node").alias("parent"), F.col("ordinal").alias("parent_pos"))
-    ranges = entities(osv, ["ranges"], ["type"]).join(owners, ["source_table", "rec_id", "parent"])
-    ranges = ranges.select("source_table", "rec_id", F.lit("range").alias("child"), "parent_pos", "pos", F.col("type").alias("val"))
+    ranges = affected_ranges(osv).select("source_table", "rec_id", F.lit("range").alias("child"), "parent_pos", "pos", F.col("type").alias("val"))
     out = flat.unionByName(ranges)
     return out.filter("val is not null and val <> ''")
 
 
-QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p3_found": p3_found, "p3_snapshot": p3_snapshot, "p3_history": p3_history, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p3_found": p3_found, "p3_snapshot": p3_snapshot, "p3_history": p3_history, "p5_found": p5_found, "p5_events": p5_events}
 
 _P3 = rf"""with q as (select id, case when cached_at >= 100000000000 then cached_at // 1000 else cached_at end as t, trim(cve_ids) as w from package_queries where cve_ids is not null),
  j as (select id, t, w, regexp_matches(w, '^[\[{{"]') as jsonish, case when regexp_matches(w, '^[\[{{"]') and json_valid(w) then case when json_type(w) = 'VARCHAR' then case when json_valid(json_extract_string(w, '$')) then json(json_extract_string(w, '$')) end else json(w) end end as v from q),
@@ -140,4 +151,8 @@ SQL: dict[str, str] = {
  a as (select rec_id, unnest(affected) as a, unnest(generate_series(1, len(affected))) - 1 as parent_pos from osv_response),
  ranges as (select rec_id, parent_pos, unnest(a.ranges) as g, unnest(generate_series(1, len(a.ranges))) - 1 as pos from a)
  select * from lists where val <> '' union all select 'osv_response', rec_id, 'range', parent_pos, pos, g.type from ranges where g.type <> ''""",
+    "p5_events": """with a as (select rec_id, unnest(affected) as a, unnest(generate_series(1, len(affected))) - 1 as affected_pos from osv_response),
+ r as (select rec_id, affected_pos, unnest(a.ranges) as r, unnest(generate_series(1, len(a.ranges))) - 1 as range_pos from a),
+ e as (select rec_id, affected_pos, range_pos, unnest(r.events) as e, unnest(generate_series(1, len(r.events))) - 1 as pos from r)
+ select rec_id, affected_pos, range_pos, pos, e.introduced, e.fixed, e.last_affected from e where coalesce(e.introduced, e.fixed, e.last_affected) is not null""",
 }
