@@ -18,6 +18,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import spread
+
 ADJACENCY = "source_table string, rec_id bigint, node bigint, parent bigint, label string, ordinal bigint, kind string, scalar string"
 
 
@@ -93,7 +95,7 @@ def shred(df: DataFrame, tops: Sequence[str], labels: Sequence[str]) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return df.select("source_table", "rec_id", "payload").mapInArrow(run, ADJACENCY)
+    return spread(df.select("source_table", "rec_id", "payload")).mapInArrow(run, ADJACENCY)
 
 
 def entities(adjacency: DataFrame, labels: Sequence[str], fields: Sequence[str], bare: dict[str, str] | None = None) -> DataFrame:

@@ -66,9 +66,9 @@ def estimate_zones(rows: DataFrame, candidates: list[str], usual_lag_us: int = U
 def with_instants(df: DataFrame, text: str, origin: str, ingested: Column | None, feeds: DataFrame, default_zone: str = "UTC") -> DataFrame:
     """``df`` with ``_ts_utc`` (microseconds since 1970 UTC, null if the text names no instant)."""
     declared = bounded(declared_zones(feeds))
-    base = df.withColumn("_ts_origin", F.col(origin)).join(declared, "_ts_origin", "left")
+    base = spread(df).withColumn("_ts_origin", F.col(origin)).join(declared, "_ts_origin", "left")
     ingest = F.lit(None).cast("bigint") if ingested is None else ingested
-    base = spread(base.withColumn("_ts_ingest", ingest)).withColumn("_ts_read", T.read_texts(F.col(text), F.coalesce("_ts_order", F.lit("ymd"))))
+    base = base.withColumn("_ts_ingest", ingest).withColumn("_ts_read", T.read_texts(F.col(text), F.coalesce("_ts_order", F.lit("ymd"))))
     base = base.withColumns({f"_ts_{b}": F.col(f"_ts_read.{a}") for a, b in (("count_us", "count"), ("local_us", "local"), ("offset_min", "offset"), ("region", "region"))})
     zone = F.coalesce("_ts_home", F.lit(default_zone))
     bare = F.col("_ts_offset").isNull() & F.col("_ts_region").isNull() & F.col("_ts_count").isNull()

@@ -83,7 +83,9 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` for a costly step in Python: rows that lie in too few splits for the cores, as those of one small file, are dealt out."""
+    """``df`` for a costly step in Python: rows that lie in too few splits for the cores, as those of one small file, are dealt out.
+
+    ``df`` should come straight from a scan: counting the splits of a plan with shuffles would run them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
 
