@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import spread
+
 #: Where the vocabulary files of public tokenizers lie, unless the caller names another folder.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits a text before the merges of the rank files.
@@ -138,4 +140,4 @@ def decoder(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKEN
 def encoded(documents: DataFrame, text: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id and ids of each document."""
     encode = encoder(documents.sparkSession, name, folder)
-    return documents.select("doc_id", encode(text).alias("ids"))
+    return spread(documents).select("doc_id", encode(text).alias("ids"))
